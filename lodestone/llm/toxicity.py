@@ -110,8 +110,8 @@ class Network:
         code = np.zeros(len(words), np.uint64)
         grid = np.zeros(inside.shape, np.uint64)
         grid[inside] = flat
-        for column in grid.T:
-            code = code * np.uint64(0x100000001B3) + column
+        for column, own in zip(grid.T, inside.T, strict=True):
+            code = np.where(own, code * np.uint64(0x100000001B3) + column, code)
         code ^= code >> np.uint64(29)
         return ids.T, inside.T[..., None].astype(np.float32), (code % np.uint64(HASHED)).astype(np.int64)
 
@@ -265,7 +265,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, seed: int = 5, b
         chosen, order = [], np.lexsort((-rank, text))
         first = np.searchsorted(text[order], np.arange(len(texts)))
         for i in range(len(texts)):
-            own = order[first[i] : first[i] + np.searchsorted(text[order][first[i] :], i, side="right")] if False else order[first[i] : (first[i + 1] if i + 1 < len(texts) else len(order))]
+            own = order[first[i] : (first[i + 1] if i + 1 < len(texts) else len(order))]
             if not len(own):
                 continue
             if y[i]:
