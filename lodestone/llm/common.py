@@ -29,8 +29,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
+    # what was shuffled on the way is not needed once the table is written
+    clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        was = spark.conf.get(clean, None)
+        spark.conf.set(clean, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, was) if was is not None else spark.conf.unset(clean)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
