@@ -52,7 +52,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
-def buckets_for(df: DataFrame, text: str, bytes_each: int = 24 << 20) -> int:
+def buckets_for(df: DataFrame, text: str, bytes_each: int = 8 << 20) -> int:
     """How many exchange buckets a corpus needs: proportional to its characters."""
     total = df.select(F.sum(F.length(F.col(text))).alias("n")).first()["n"] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_each))

@@ -254,6 +254,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, seed: int = 5, b
     words, number = [], {}
     flat = np.fromiter((number.setdefault(w, len(number)) for x in split for w in x), np.int64, int(counts.sum()))
     words = list(number)
+    del split
     of = np.repeat(np.arange(len(texts)), counts)
     pairs = np.unique(np.stack([flat, of]), axis=1) if len(flat) < 1 << 16 else np.divmod(np.unique(flat * len(texts) + of), len(texts))
     toxic_df = np.bincount(pairs[0], y[pairs[1]], len(words))

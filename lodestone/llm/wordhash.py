@@ -77,7 +77,7 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(a[:n] * np.uint64(0xA0761D6478BD642F) + (b[:n] ^ np.uint64(0xE7037ED1A0B428DB)))
 
 
-def text_groups(rows: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_groups(rows: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts together have about ``limit`` bytes, whole texts each."""
     sizes = np.array([0 if x is None else x for x in pc.binary_length(rows.column(column)).to_pylist()], np.int64)
     a, total = 0, np.cumsum(sizes)
