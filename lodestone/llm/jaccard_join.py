@@ -5,8 +5,8 @@ nothing to any product; what remains of a row must reach the least overlap its s
 discarded. Of the rows that are left, the rarest columns, as many as leave less than the least overlap behind,
 must be shared by any two that link; they tie rows together into clusters, and only rows of one cluster are
 multiplied. Clusters are cut into blocks of bounded size, and the product of two blocks accumulates overlap
-counts, skipping rows that are linked already and sizes too far apart. All of this is exact up to 64-bit
-hash collisions of n-grams (128 bits for whole sets).
+counts, skipping rows that are linked already and sizes too far apart. All of this is exact up to collisions of
+hashes: 64 bits for a whole set, 48 bits and the bucket for an n-gram.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import buckets_for, materialise, mix64, table, text_or_empty, without
+from lodestone.llm.common import buckets_for, materialise, mix64, table, text_or_empty
 from lodestone.llm.components import components
-from lodestone.llm.wordhash import bucket_entries, gathered, scatter, text_groups, window_hashes, word_hashes
+from lodestone.llm.wordhash import bucket_entries, gathered, key_buckets, scatter, text_groups, window_hashes, word_hashes
 
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 21
 
@@ -56,11 +56,10 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def set_keys(h: np.ndarray, of: np.ndarray, n_texts: int) -> np.ndarray:
-    """128 bits that tell the sets apart, two int64 per text: sums of two mixings, which need no order."""
-    out = np.zeros((n_texts, 2), np.uint64)
-    np.add.at(out[:, 0], of, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
-    np.add.at(out[:, 1], of, mix64(h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1)))
-    return out.view(np.int64)
+    """64 bits (int64) that tell sets apart: sums of mixed hashes, which need no order."""
+    out = np.zeros(n_texts, np.uint64)
+    np.add.at(out, of, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
+    return mix64(out).view(np.int64)
 
 
 def least_overlap(n, percent: int):
@@ -102,7 +101,7 @@ def multiply(sizes: np.ndarray, rows: list[np.ndarray], side: np.ndarray | None,
 
 
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id, set_key_1, set_key_2), one for every row of ``df`` with a known id.
+    """Rows (id, n_shingles, component_id), one for every row of ``df`` with a known id.
 
     Sets are the distinct n-grams of words of the lower-cased text (see ``shingle_sets``); rows link when
     100 * overlap >= percent * union. component_id is the smallest id reachable by links, itself included. Rows
@@ -117,34 +116,25 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
             for group in text_groups(batch, 1):
                 h, of, sizes = shingle_sets(group.column(1), n)
                 keys = set_keys(h, of, group.num_rows)
-                yield pa.RecordBatch.from_arrays([group.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], names=["id", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([group.column(0), pa.array(sizes, pa.int64()), pa.array(keys)], names=["id", "n", "node"])
 
     def emit(batches):
         for batch in batches:
             for group in text_groups(batch, 1):
                 h, of, sizes = shingle_sets(group.column(1), n)
                 keys = set_keys(h, of, group.num_rows)
-                # of equal sets in a group the smallest id speaks for all
-                ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
-                new = np.ones(len(order), bool)
-                new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)
-                speaks = np.zeros(len(ids), bool)
-                speaks[order[new]] = True
+                _, first = np.unique(keys, return_index=True)  # of equal sets in a group one speaks for all
+                speaks = np.zeros(group.num_rows, bool)
+                speaks[first] = True
                 mine = speaks[of]
                 if mine.any():
-                    yield scatter(h[mine], of[mine], np.column_stack([ids, sizes, keys]), np.zeros(int(mine.sum())), buckets)
+                    yield scatter(h[mine], of[mine], np.column_stack([keys, sizes]), key_buckets(h[mine], buckets))
 
     def meet(batches):
         for _, blobs in gathered(batches):
-            docs, h, slots, _ = bucket_entries([b for (b,) in blobs])
-            order = np.lexsort((docs[:, 0], docs[:, 3], docs[:, 2]))
-            new = np.ones(len(docs), bool)
-            new[1:] = (docs[order][1:, 2:] != docs[order][:-1, 2:]).any(1)
-            of_doc = np.empty(len(docs), np.int64)
-            of_doc[order] = np.cumsum(new) - 1
-            classes = docs[order[new]]  # first in order: the smallest id
-            row = of_doc[slots]
+            docs, h, slots = bucket_entries([b for (b,) in blobs])
+            nodes, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
+            table, row = docs[first], of_doc[slots]
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
             new = np.ones(len(h), bool)
@@ -152,37 +142,39 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
             h, row = h[new], row[new]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
-            df = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1] if len(h) else np.empty(0, np.int64)
-            h, row, df = h[df > 1], row[df > 1], df[df > 1]
-            order = np.argsort(row, kind="stable")
-            h, row, df = h[order], row[order], df[order]
+            df = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
+            keep = df > 1
+            order = np.argsort(row[keep], kind="stable")
+            h, row, df = h[keep][order], row[keep][order], df[keep][order]
             if len(h):
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
-                own = classes[row[cuts[:-1]]]
-                blobs = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (h, df.astype("<u4"))]
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(np.diff(cuts)), *(pa.array(x, pa.binary()) for x in blobs)], names=["node", "n", "k", "h", "df"])
+                yield scatter(h, row, table, key_buckets(nodes.view(np.uint64), buckets)[row], np.minimum(df, 1 << 30))
 
-    def prefixes(batches):
-        for batch in batches:
-            nodes, sizes, out, cols = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
-            for h, df, size in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sizes, strict=True):
-                h, df = np.frombuffer(b"".join(h), "<u8"), np.frombuffer(b"".join(df), "<u4")
-                h = h[np.lexsort((h, df))]
-                take = size - least_overlap(size, percent) + 1 - (size - len(h))
-                out.append(h.tobytes())
-                cols.append(h[: max(0, take)].view(np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, cols)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *cols])))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes), pa.array([len(x) // 8 for x in out], pa.int64()), pa.array(out, pa.binary()), lists], names=["node", "n", "k", "h", "rare"])
-
-    described = materialise(rows.mapInArrow(describe, "id long, n long, a long, b long"), "sets")
-    shared = (
-        rows.mapInArrow(emit, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(meet, "node long, n long, k long, h binary, df binary")
-        .groupBy("node", "n").agg(F.sum("k").alias("k"), F.collect_list("h").alias("h"), F.collect_list("df").alias("df"))
-        .filter(F.col("k") * 100 >= F.col("n") * percent)
-        .select("node", "n", "h", "df")
-    )
-    left = materialise(shared.mapInArrow(prefixes, "node long, n long, k long, h binary, rare array<long>"), "rows")
+    def bound(batches):
+        for _, blobs in gathered(batches):
+            docs, h, slots, df = bucket_entries([b for (b,) in blobs])
+            _, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
+            table, row = docs[first], of_doc[slots]
+            shared = np.bincount(row, minlength=len(table))
+            fits = 100 * shared >= percent * table[:, 1]  # a row must reach the least overlap of its size
+            keep = fits[row]
+            h, row, df = h[keep], row[keep], df[keep]
+            order = np.lexsort((h, df, row))  # rarest columns first
+            h, row = h[order], row[order]
+            table, shared = table[fits], shared[fits]
+            ends = np.cumsum(shared)
+            take = table[:, 1] - least_overlap(table[:, 1], percent) + 1 - (table[:, 1] - shared)
+            for a in range(0, len(table), 1000):
+                part = range(a, min(a + 1000, len(table)))
+                own = [h[ends[i] - shared[i] : ends[i]] for i in part]
+                rare = [x[: max(0, take[i])].view(np.int64) for x, i in zip(own, part, strict=True)]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)]).astype(np.int32), pa.array(np.concatenate(rare)))
+                columns = [pa.array(table[part, 0].copy()), pa.array(table[part, 1].copy()), pa.array(shared[part].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in own], pa.binary()), lists], names=["node", "n", "k", "h", "rare"])
+
+    described = materialise(rows.mapInArrow(describe, "id long, n long, node long"), "sets")
+    met = rows.mapInArrow(emit, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    by_node = met.mapInArrow(meet, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    left = materialise(by_node.mapInArrow(bound, "node long, n long, k long, h binary, rare array<long>"), "rows")
     ties = left.select("node", F.explode("rare").alias("g"))
     least = ties.groupBy("g").agg(F.min("node").alias("u"), F.max("node").alias("most")).filter("u <> most").select("g", "u")
     clusters = components(ties.join(least, "g").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
@@ -210,10 +202,14 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(product, "u long, v long")
     linked = components(links).withColumnRenamed("component", "joined")
-    classes = described.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("node")).join(linked, "node", "left")
-    classes = classes.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("joined", "node").alias("component_id"))
-    return described.join(classes, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & (F.col("n") > 0), "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("a").alias("set_key_1"), F.col("b").alias("set_key_2")
+    # a class speaks by its smallest id, a component by the smallest of its classes
+    classes = described.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    named = classes.join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    named = named.select("node", "least", F.coalesce("joined", "node").alias("joined"))
+    smallest = named.groupBy(F.col("joined").alias("whole")).agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, named.joined == smallest.whole).select(F.col("node").alias("of"), "component_id")
+    return described.join(named, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select(
+        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
@@ -229,5 +225,4 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id
 
 def op3_jaccard_join(spark, sf_dir):
     """Every document with the size of its 5-gram set and the smallest id it is linked with."""
-    found = jaccard_components(table(spark, sf_dir, "documents"))
-    return without(found.withColumnRenamed("id", "doc_id"), "set_key_1", "set_key_2")
+    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import buckets_for, materialise, table, text_or_empty, without
-from lodestone.llm.wordhash import bucket_entries, gathered, join, scatter, text_groups, window_hashes, word_hashes
+from lodestone.llm.wordhash import bucket_entries, gathered, join, key_buckets, scatter, text_groups, window_hashes, word_hashes
+
+LOW = np.uint64((1 << 48) - 1)  # what the exchange keeps of a hash
 
 
 def sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -66,11 +68,11 @@ def _representatives(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 change[1:] = (own[1:] != own[:-1]) | (w.least[1:] != w.least[:-1])
                 ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
                 if len(own):
-                    yield scatter(w.least[change], own[change], ids, np.zeros(int(change.sum())), buckets)
+                    yield scatter(w.least[change], own[change], ids, key_buckets(w.least[change], buckets))
 
     def meet(batches):
         for _, blobs in gathered(batches):
-            docs, keys, slots, _ = bucket_entries([b for (b,) in blobs])
+            docs, keys, slots = bucket_entries([b for (b,) in blobs])
             ids = docs[slots, 0]
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
@@ -116,20 +118,19 @@ def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 keep = np.zeros(len(w.starts), bool)
                 for i, blobs in enumerate(known):
                     if ends[i] < ends[i + 1]:
-                        keep[ends[i] : ends[i + 1]] = np.isin(w.least[ends[i] : ends[i + 1]], np.frombuffer(b"".join(blobs), "<u8"))
+                        keep[ends[i] : ends[i + 1]] = np.isin(w.least[ends[i] : ends[i + 1]] & LOW, np.frombuffer(b"".join(blobs), "<u8"))
                 at = w.starts[keep]
                 if len(at):
                     one, two = w.whole(at)
                     own = w.text[at]
                     ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
-                    # the second hash goes with the first as its extra; the place is kept beside the document
-                    places = (at - w.first[own]).astype(np.int64)
-                    yield scatter(one, np.arange(len(at)), np.column_stack([ids[own, 0], places]), two, buckets)
+                    places = at - w.first[own]
+                    yield scatter(one, own, ids, key_buckets(one, buckets), two, places)
 
     def meet(batches):
         for _, blobs in gathered(batches):
-            docs, keys, slots, extra = bucket_entries([b for (b,) in blobs])
-            ids, places = docs[slots, 0], docs[slots, 1]
+            docs, keys, slots, extra, places = bucket_entries([b for (b,) in blobs])
+            ids = docs[slots, 0]
             order = np.lexsort((ids, extra, keys))
             keys, extra, ids, places = keys[order], extra[order], ids[order], places[order]
             new = np.ones(len(keys), bool)

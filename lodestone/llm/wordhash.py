@@ -87,31 +87,47 @@ def text_groups(rows: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iter
         a = b
 
 
-def scatter(keys: np.ndarray, slots: np.ndarray, docs: np.ndarray, extra: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, blob) of entries (key, document, extra): ``slots`` are row numbers in ``docs``, an int64 matrix
-    whose first column is the id; ``extra`` is an unsigned 32-bit integer per entry."""
-    bucket = ((keys >> np.uint64(44)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
-    names, blobs = [], []
-    for a, b in zip(starts, ends, strict=True):
-        if a < b:
-            own = order[a:b]
-            used, slot = np.unique(slots[own], return_inverse=True)
-            head = struct.pack("<qqq", len(used), docs.shape[1], b - a)
-            blobs.append(b"".join([head, docs[used].astype("<i8").tobytes(), keys[own].tobytes(), slot.astype("<u4").tobytes(), extra[own].astype("<u4").tobytes()]))
-            names.append(int(bucket[a]))
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+def key_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, from its upper bits; blobs store the lower 48."""
+    return (keys >> np.uint64(44)) % np.uint64(buckets)
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, keys, slots and extras of a blob."""
-    n_docs, width, n = struct.unpack_from("<qqq", blob)
-    docs = np.frombuffer(blob, "<i8", n_docs * width, 24).reshape(n_docs, width)
-    at = 24 + docs.nbytes
-    return docs, np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<u4", n, at + 8 * n), np.frombuffer(blob, "<u4", n, at + 12 * n)
+def scatter(keys: np.ndarray, slots: np.ndarray, docs: np.ndarray, bucket: np.ndarray, *extra: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, blob) of entries: a key (48 bits are kept), a row of ``docs`` (an int64 matrix) by its number in
+    ``slots``, and unsigned 32-bit extras. Entries must come in order of slots. A blob holds each document once."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket, keys, slots, extra = bucket[order], keys[order], slots[order], [x[order].astype("<u4") for x in extra]
+    low, high = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u2")
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
+    fresh = np.ones(len(slots), bool)
+    fresh[1:] = (slots[1:] != slots[:-1]) | (bucket[1:] != bucket[:-1])
+    heads = np.flatnonzero(fresh)
+    lengths = np.diff(np.append(heads, len(slots))).astype("<u4")
+    tables, where = docs[slots[heads]].astype("<i8"), np.searchsorted(heads, starts)
+    where = np.append(where, len(heads))
+    blobs = []
+    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        x, y = where[k], where[k + 1]
+        head = struct.pack("<iiii", y - x, docs.shape[1], b - a, len(extra))
+        blobs.append(b"".join([head, tables[x:y].tobytes(), lengths[x:y].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), *(e[a:b].tobytes() for e in extra)]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def bucket_entries(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of one bucket: documents, keys (lower 48 bits), each entry's row of documents, and extras."""
+    tables, lengths, keys, extras = [], [], [], []
+    for blob in blobs:
+        n_docs, width, n, more = struct.unpack_from("<iiii", blob)
+        tables.append(np.frombuffer(blob, "<i8", n_docs * width, 16).reshape(n_docs, width))
+        at = 16 + 8 * n_docs * width
+        lengths.append(np.frombuffer(blob, "<u4", n_docs, at))
+        at += 4 * n_docs
+        keys.append(np.frombuffer(blob, "<u4", n, at).astype(np.uint64) | np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
+        at += 6 * n
+        extras.append([np.frombuffer(blob, "<u4", n, at + 4 * n * k) for k in range(more)])
+    lengths = np.concatenate(lengths)
+    return np.concatenate(tables), np.concatenate(keys), np.repeat(np.arange(len(lengths)), lengths), *(np.concatenate(x) for x in zip(*extras, strict=True))
 
 
 def gathered(batches, key_columns: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -127,11 +143,3 @@ def gathered(batches, key_columns: int = 1) -> Iterator[tuple[tuple, list[tuple]
     if held:
         yield current, held
 
-
-def bucket_entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All documents, keys, slots and extras of one bucket."""
-    parts, base, slots = [unpack(b) for b in blobs], 0, []
-    for p in parts:
-        slots.append(p[2].astype(np.int64) + base)
-        base += len(p[0])
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(slots), np.concatenate([p[3] for p in parts])
