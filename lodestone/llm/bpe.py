@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
+from lodestone.llm.wordhash import text_groups
 
 NONE = np.int64(np.iinfo(np.int64).max)
 
@@ -215,10 +216,10 @@ class Vocabulary:
 class Encoder:
     """A vocabulary with a bounded cache from pre-token to ``render(ids)``."""
 
-    def __init__(self, path: str, render, limit: int = 400_000):
+    def __init__(self, path: str, render, limit: int = 200_000):
         self.vocabulary, self.render, self.limit, self.cache = Vocabulary(path), render, limit, {}
 
-    def batch(self, texts: list[str], group: int = 1 << 22) -> Iterator[list]:
+    def batch(self, texts: list[str], group: int = 1 << 21) -> Iterator[list]:
         """For every text the rendered pre-tokens in order; texts are taken in groups of bounded size."""
         a = 0
         while a < len(texts):
@@ -243,7 +244,7 @@ class FlatEncoder:
     """Ids of many texts at once as one flat array: tokens are dictionary-encoded, and the ids of distinct
     pre-tokens are kept in a pool of bounded size."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.vocabulary, self.limit = Vocabulary(path), limit
         self._clear()
 
@@ -251,7 +252,7 @@ class FlatEncoder:
         self.entry: dict[str, int] = {}
         self.starts, self.sizes, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def batch(self, texts: list[str], group: int = 1 << 22) -> Iterator[np.ndarray]:
+    def batch(self, texts: list[str], group: int = 1 << 21) -> Iterator[np.ndarray]:
         """Every text's ids, in order; texts are taken in groups of bounded size."""
         a = 0
         while a < len(texts):
@@ -319,7 +320,7 @@ def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        for rows in batches:
+        for rows in itertools.chain.from_iterable(text_groups(b, 1, 1 << 21) for b in batches):
             ids = list(flat_encoder(path).batch(["" if t is None else t for t in rows.column(1).to_pylist()]))
             ends = np.cumsum([0, *map(len, ids)])
             flat = pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32))
@@ -349,7 +350,7 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches):
-        for rows in batches:
+        for rows in itertools.chain.from_iterable(text_groups(b, 1, 1 << 21) for b in batches):
             texts = ["" if t is None else t for t in rows.column(1).to_pylist()]
             counts, of_ids, of_text = [], [], []
             for pieces in _words(path).batch(texts):

@@ -10,6 +10,7 @@ length plus the sizes of the slots before), so a hot length is spread over all s
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import flat_encoder
 from lodestone.llm.common import materialise, table, without
+from lodestone.llm.wordhash import text_groups
 
 
 class CapacityTree:
@@ -150,7 +152,7 @@ def token_pieces(
     """
 
     def run(batches):
-        for rows in batches:
+        for rows in itertools.chain.from_iterable(text_groups(b, 1, 1 << 21) for b in batches):
             texts = ["" if t is None else t for t in rows.column(1).to_pylist()]
             of, piece, start, length, crc, blobs = [], [], [], [], [], []
             for i, ids in enumerate(flat_encoder(path).batch(texts)):

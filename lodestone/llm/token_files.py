@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import buckets_for, materialise, shared_dir, table, text_or_empty
+from lodestone.llm.wordhash import text_groups
 
 MAGIC = b"LDAC0001"
 HEADER = "<8sqqqqq"  # magic, partition, ids before in the partition, documents, ids, levels
@@ -121,7 +122,7 @@ def write_token_files(
 
     def run(batches):
         part, before, held, ids, blobs = TaskContext.get().partitionId(), 0, 0, [], []
-        for rows in batches:
+        for rows in (g for b in batches for g in text_groups(b, 1, 1 << 21)):
             for i, raw in zip(rows.column(0).to_pylist(), tokens_of(rows.column(1).to_pylist()), strict=True):
                 ids.append(i)
                 blobs.append(raw)

@@ -182,7 +182,7 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Scorer:
     """Scores texts; keeps projected word vectors in a pool of bounded size."""
 
-    def __init__(self, network: Network, limit: int = 200_000):
+    def __init__(self, network: Network, limit: int = 100_000):
         self.network, self.limit = network, limit
         self._clear()
 
