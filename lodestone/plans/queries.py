@@ -1,4 +1,343 @@
-"""The engine's queries by name, each over a data folder, with oracle SQL where SQL can express them."""
+"""The engine's queries by name, each over a data folder, with oracle SQL where SQL can express them.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand in for an indexed corpus: embeddings are chunks (a file per label), parts and orders are files that
+line items link, documents and pages are texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import pathops as P
+from lodestone.functions import textops as T
+from lodestone.functions import vectors as V
+from lodestone.operators import dupes as D
+from lodestone.operators import graph as G
+from lodestone.operators import lint as L
+from lodestone.operators import search as S
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as chunks: a file per label, its extension by label, variants and headings by id."""
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".go", ".py", ".yaml")]), (F.col("label") % 4 + 1).cast("int"))
+    variant = F.element_at(F.array(*[F.lit(x) for x in ("path", "narrow", "full")]), (F.col("vec_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("Label_"), F.col("label"), ext).alias("rel_path"),
+        F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_key"),
+        F.concat(F.lit("# h"), F.floor(F.col("vec_id") / 3) % 20).alias("heading"),
+        variant.alias("variant"),
+        F.concat(F.lit("text "), F.col("vec_id")).alias("text"),
+        F.lit(1).alias("line"),
+        F.col("embedding").alias("vec"),
+    )
+
+
+def probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: the embedding of id 0 (one row)."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+CHUNKS = """
+chunks AS (
+  SELECT 'Label_' || label || ['.md', '.go', '.py', '.yaml'][CAST(label % 4 + 1 AS INT)] AS rel_path,
+         lpad(CAST(vec_id AS VARCHAR), 12, '0') AS chunk_key, '# h' || (vec_id // 3) % 20 AS heading,
+         ['path', 'narrow', 'full'][CAST(vec_id % 3 + 1 AS INT)] AS variant, 'text ' || vec_id AS text,
+         CAST(embedding AS DOUBLE[]) AS vec
+  FROM embeddings),
+scored AS (
+  SELECT *, list_cosine_similarity(vec, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score
+  FROM chunks)
+"""
+
+
+def _ranked(where: str, limit: int | None) -> str:
+    return f"""WITH {CHUNKS}
+SELECT rel_path, chunk_key, round(score, 6) AS score FROM scored WHERE {where}
+ORDER BY scored.score DESC, rel_path, chunk_key {f'LIMIT {limit}' if limit else ''}"""
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("rel_path", "chunk_key", F.round("score", 6).alias("score"))
+
+
+@query(_ranked("score >= 0", 10))
+def search_topk(spark, sf_dir):
+    return _rounded(S.search(chunks(spark, sf_dir), probe(spark, sf_dir), collapsed=False))
+
+
+@query(_ranked("score >= 0.15", None))
+def search_min_score(spark, sf_dir):
+    return _rounded(S.search(chunks(spark, sf_dir), probe(spark, sf_dir), limit=0, min_score=0.15, collapsed=False))
+
+
+@query(_ranked("score >= 0 AND rel_path LIKE '%.md'", 10))
+def search_kind_filter(spark, sf_dir):
+    return _rounded(S.search(chunks(spark, sf_dir), probe(spark, sf_dir), kind="docs", collapsed=False))
+
+
+@query(_ranked("score >= 0 AND (rel_path LIKE '%.go' OR rel_path LIKE '%.yaml')", 10))
+def search_lang_filter(spark, sf_dir):
+    return _rounded(S.search(chunks(spark, sf_dir), probe(spark, sf_dir), langs=["golang", "yml"], collapsed=False))
+
+
+@query(_ranked("score >= 0 AND lower(rel_path) LIKE 'label\\_1%' ESCAPE '\\'", 10))
+def search_prefix(spark, sf_dir):
+    return _rounded(S.search(chunks(spark, sf_dir), probe(spark, sf_dir), path_prefix="LABEL_1", collapsed=False))
+
+
+@query(f"""WITH {CHUNKS}, hits AS (SELECT * FROM scored WHERE score >= 0),
+winners AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY rel_path ORDER BY score DESC, chunk_key) = 1),
+content AS (SELECT * FROM hits WHERE variant <> 'path'
+            QUALIFY row_number() OVER (PARTITION BY rel_path, heading ORDER BY score DESC, chunk_key) = 1)
+SELECT w.rel_path, coalesce(c.chunk_key, w.chunk_key) AS chunk_key, coalesce(c.variant, w.variant) AS variant,
+       round(coalesce(c.score, w.score), 6) AS score
+FROM winners w LEFT JOIN content c ON w.rel_path = c.rel_path AND w.heading = c.heading AND w.variant = 'path'
+ORDER BY w.score DESC, w.rel_path, w.chunk_key LIMIT 10""")
+def search_promote(spark, sf_dir):
+    hits = S.search(chunks(spark, sf_dir), probe(spark, sf_dir))
+    return hits.select("rel_path", "chunk_key", "variant", F.round("score", 6).alias("score"))
+
+
+@query("SELECT DISTINCT ['markdown', 'go', 'python', 'yaml'][CAST(label % 4 + 1 AS INT)] AS lang FROM embeddings")
+def language_catalog(spark, sf_dir):
+    return S.languages(chunks(spark, sf_dir))
+
+
+def _pairs(where: str, more: str = "") -> str:
+    return f"""WITH {CHUNKS}, c AS (SELECT * FROM chunks WHERE variant = 'narrow')
+SELECT a.rel_path AS a_path, a.chunk_key AS a_key, b.rel_path AS b_path, b.chunk_key AS b_key,
+       round(list_cosine_similarity(a.vec, b.vec), 6) AS score
+FROM c a JOIN c b ON (a.rel_path, a.chunk_key) < (b.rel_path, b.chunk_key)
+WHERE list_cosine_similarity(a.vec, b.vec) >= 0.35 {where}
+{more}"""
+
+
+@query(_pairs("AND a.rel_path <> b.rel_path"))
+def dupes_cross_file(spark, sf_dir):
+    return D.dupes(chunks(spark, sf_dir), 0.35, 0).withColumn("score", F.round("score", 6))
+
+
+@query(_pairs(""))
+def dupes_within_file(spark, sf_dir):
+    return D.dupes(chunks(spark, sf_dir), 0.35, 0, within_file=True).withColumn("score", F.round("score", 6))
+
+
+@query(_pairs("AND a.rel_path <> b.rel_path", "ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, 1, 2, 3, 4 LIMIT 20"))
+def dupes_topk(spark, sf_dir):
+    return D.dupes(chunks(spark, sf_dir), 0.35, 20).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+round(embedding[1]::DOUBLE / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings""")
+def vec_normalize(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.normalize(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query("""SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, 6) AS mean, round(embedding[1]::DOUBLE, 6) AS cls FROM embeddings""")
+def vec_pool(spark, sf_dir):
+    e = lambda i: F.array(F.col("embedding")[i])
+    tokens, mask = F.array(e(0), e(1), e(2)), F.array(F.lit(1), F.lit(0), F.lit(1))
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.round(V.mean_pool(tokens, mask)[0], 6).alias("mean"), F.round(V.cls_pool(tokens)[0].cast("double"), 6).alias("cls"))
+
+
+@query("""SELECT doc_id, round(('0x' || substr(sha256(coalesce(text, '')), 1, 2))::INT / 255.0, 9) AS v0,
+round(('0x' || substr(sha256(coalesce(text, '')), 7, 2))::INT / 255.0, 9) AS v3 FROM documents""")
+def fake_embedding(spark, sf_dir):
+    v = V.fake_embedding(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(v[0], 9).alias("v0"), F.round(v[3], 9).alias("v3"))
+
+
+@query("SELECT page_id, sha256(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g')) AS digest FROM pages WHERE html NOT SIMILAR TO '(.|\\n)*(\\]\\(|\\[\\[|\\n\\n\\n)(.|\\n)*' AND html NOT ILIKE '%tocstop%' AND NOT regexp_matches(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), '\\n\\n\\n')")
+def simplify_comments(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").filter(r"NOT html RLIKE r'\]\(|\[\[|\n\n\n' AND NOT html ILIKE '%tocstop%'")
+    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    return rows.filter(~bare.rlike(r"\n\n\n")).select("page_id", F.sha2(T.simplify(F.col("html")), 256).alias("digest"))
+
+
+@query("""SELECT page_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (
+SELECT page_id, rtrim(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS s FROM pages)""")
+def slugify(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.slugify(F.col("url")).alias("slug"))
+
+
+@query("SELECT page_id, replace(regexp_replace(lower(trim(url)), '[^a-z0-9_ -]', '', 'g'), ' ', '-') AS slug FROM pages")
+def anchor_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.anchor_slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT p_partkey, p_name AS leaf, p_size = 7 AS contents FROM part")
+def heading_leaf(spark, sf_dir):
+    crumb = F.concat(F.lit("# Top > ### "), F.col("p_name"))
+    title = F.when(F.col("p_size") == 7, F.lit(" Table of Contents ")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.heading_leaf(crumb).alias("leaf"), T.is_contents(title).alias("contents"))
+
+
+@query("""SELECT rel_path, CASE WHEN rel_path LIKE '%.MD' THEN 'markdown' WHEN rel_path LIKE '%.tf' THEN 'hcl' WHEN rel_path LIKE '%.h' THEN 'cpp' END AS lang,
+rel_path LIKE '%.MD' AS markdown FROM (SELECT 'a.b/' || p_partkey || ['.MD', '.tf', '.h', ''][CAST(p_partkey % 4 + 1 AS INT)] AS rel_path FROM part)""")
+def lang_of_path(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".MD", ".tf", ".h", "")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = table(spark, sf_dir, "part").select(F.concat(F.lit("a.b/"), F.col("p_partkey"), ext).alias("rel_path"))
+    return path.select("rel_path", T.lang_of_path(F.col("rel_path")).alias("lang"), T.is_markdown(F.col("rel_path")).alias("markdown"))
+
+
+@query("""SELECT p_partkey, 'parts/' || p_partkey || '.md' AS cleaned, '../x/' || p_partkey AS climbed, 1 AS depth, 3 AS n FROM part""")
+def path_clean(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    up = F.concat(F.lit("a/../../x/./y/../"), key)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", P.candidate(F.lit("orders/1.md"), F.concat(F.lit("..//parts%2F./"), key, F.lit(".md"))).alias("cleaned"),
+        P.clean(up).alias("climbed"), P.climb_depth(up).alias("depth"), F.size(P.ext_candidates(up)).alias("n"),
+    )
+
+
+def corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts of some sizes and orders as files, line items and orders as links, a heading per part."""
+    part, orders, items = (table(spark, sf_dir, t) for t in ("part", "orders", "lineitem"))
+    md = F.lit(".md")
+    files = part.filter("p_size <= 40").select(F.concat(F.lit("parts/"), F.col("p_partkey"), md).alias("rel_path")).unionByName(
+        orders.select(F.concat(F.lit("orders/"), F.col("o_orderkey"), md).alias("rel_path"))
+    )
+    to_parts = items.select(
+        F.concat(F.lit("orders/"), F.col("l_orderkey"), md).alias("src_rel_path"), F.concat(F.lit("../parts/"), F.col("l_partkey"), md).alias("target"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Size "), F.col("l_partkey") % 50)).otherwise(F.lit("")).alias("anchor"),
+        F.lit("md").alias("kind"), F.col("l_linenumber").cast("int").alias("line"),
+    )
+    to_orders = orders.select(
+        F.concat(F.lit("orders/"), F.col("o_orderkey"), md).alias("src_rel_path"), F.concat(F.col("o_custkey"), md).alias("target"),
+        F.lit("").alias("anchor"), F.lit("md").alias("kind"), F.lit(100).alias("line"),
+    )
+    headings = part.select(F.concat(F.lit("parts/"), F.col("p_partkey"), md).alias("rel_path"), F.concat(F.lit("size-"), F.col("p_size")).alias("slug"))
+    return files, to_parts.unionByName(to_orders), headings
+
+
+CORPUS = """
+files AS (SELECT 'parts/' || p_partkey || '.md' AS rel_path FROM part WHERE p_size <= 40
+          UNION ALL SELECT 'orders/' || o_orderkey || '.md' FROM orders),
+links AS (SELECT 'orders/' || l_orderkey || '.md' AS src, 'parts/' || l_partkey || '.md' AS aim, '../parts/' || l_partkey || '.md' AS target,
+                 CASE WHEN l_linenumber = 1 THEN 'Size ' || l_partkey % 50 ELSE '' END AS anchor, CAST(l_linenumber AS INT) AS line FROM lineitem
+          UNION ALL SELECT 'orders/' || o_orderkey || '.md', 'orders/' || o_custkey || '.md', o_custkey || '.md', '', 100 FROM orders),
+edges AS (SELECT l.*, f.rel_path AS dest FROM links l LEFT JOIN files f ON l.aim = f.rel_path),
+headings AS (SELECT 'parts/' || p_partkey || '.md' AS rel_path, 'size-' || p_size AS slug FROM part),
+bad AS (SELECT e.* FROM edges e WHERE dest IS NOT NULL AND anchor <> '' AND NOT EXISTS
+        (SELECT 1 FROM headings h WHERE h.rel_path = e.dest AND h.slug = replace(lower(e.anchor), ' ', '-'))),
+orphans AS (SELECT rel_path FROM files WHERE rel_path NOT IN (SELECT dest FROM edges WHERE dest IS NOT NULL))
+"""
+
+
+@query(f"WITH {CORPUS} SELECT src AS src_rel_path, target, line, dest FROM edges")
+def graph_edges(spark, sf_dir):
+    files, links, _ = corpus(spark, sf_dir)
+    return G.edges(links, files).select("src_rel_path", "target", "line", F.col("to").alias("dest"))
+
+
+@query(f"WITH {CORPUS} SELECT rel_path FROM orphans")
+def graph_orphans(spark, sf_dir):
+    files, links, _ = corpus(spark, sf_dir)
+    return G.orphans(files, G.edges(links, files))
+
+
+@query(f"WITH {CORPUS} SELECT src AS src_rel_path, target, line FROM edges WHERE dest IS NULL")
+def graph_broken(spark, sf_dir):
+    files, links, _ = corpus(spark, sf_dir)
+    return G.broken(G.edges(links, files), files).select("src_rel_path", "target", "line")
+
+
+@query(f"WITH {CORPUS} SELECT src AS src_rel_path, target, anchor, line FROM bad")
+def graph_broken_anchors(spark, sf_dir):
+    files, links, headings = corpus(spark, sf_dir)
+    return G.broken_anchors(G.edges(links, files), headings).select("src_rel_path", "target", "anchor", "line")
+
+
+@query(f"WITH {CORPUS} SELECT src AS src_rel_path, line FROM edges WHERE dest = 'parts/7.md'")
+def graph_backlinks(spark, sf_dir):
+    files, links, _ = corpus(spark, sf_dir)
+    return G.backlinks(G.edges(links, files), "./parts/../parts/7.md").select("src_rel_path", "line")
+
+
+@query(f"""WITH {CORPUS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files) AS markdown, (SELECT count(*) FROM edges) AS edges,
+(SELECT count(dest) FROM edges) AS resolved, (SELECT count(*) FROM edges WHERE dest IS NULL) AS broken, (SELECT count(*) FROM bad) AS broken_anchors,
+(SELECT count(*) FROM orphans) AS orphans""")
+def graph_stats(spark, sf_dir):
+    files, links, headings = corpus(spark, sf_dir)
+    return G.stats(files, G.edges(links, files), headings)
+
+
+@query(f"WITH {CORPUS} SELECT DISTINCT '  \"' || src || '\" -> \"' || dest || '\";' AS line FROM edges WHERE dest IS NOT NULL")
+def graph_dot(spark, sf_dir):
+    files, links, _ = corpus(spark, sf_dir)
+    return G.dot(G.edges(links, files))
+
+
+@query("""WITH f AS (SELECT 'parts/' || p_partkey || '.md' AS rel_path, CAST(p_partkey AS VARCHAR) AS base FROM part UNION ALL
+SELECT 'orders/' || o_orderkey || '.go', CAST(o_orderkey AS VARCHAR) FROM orders)
+SELECT CAST(c_custkey AS VARCHAR) AS target, min(rel_path) AS dest FROM customer LEFT JOIN f ON base = CAST(c_custkey AS VARCHAR) GROUP BY 1""")
+def wiki_resolve(spark, sf_dir):
+    part, orders, customer = (table(spark, sf_dir, t) for t in ("part", "orders", "customer"))
+    files = part.select(F.concat(F.lit("parts/"), F.col("p_partkey"), F.lit(".md")).alias("rel_path")).unionByName(
+        orders.select(F.concat(F.lit("orders/"), F.col("o_orderkey"), F.lit(".go")).alias("rel_path"))
+    )
+    links = customer.select(F.lit("index.md").alias("src_rel_path"), F.col("c_custkey").cast("string").alias("target"), F.lit("").alias("anchor"), F.lit("wiki").alias("kind"), F.lit(1).alias("line"))
+    return G.resolve(links, files).select("target", F.col("to").alias("dest"))
+
+
+def _mentions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers mention part files by base name; parts live in two folders by size, so some names are ambiguous."""
+    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    name = F.concat(F.col("p_partkey"), F.lit(".go"))
+    files = part.filter("p_size <= 40").select(F.concat(F.lit("a/"), name).alias("rel_path")).unionByName(
+        part.filter("p_size <= 10").select(F.concat(F.lit("b/"), name).alias("rel_path"))
+    )
+    links = items.select(
+        F.concat(F.lit("docs/s/"), F.col("l_suppkey"), F.lit(".md")).alias("src_rel_path"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("../../a/"), F.col("l_partkey"), F.lit(".go"))).otherwise(F.concat(F.col("l_partkey"), F.lit(".go"))).alias("target"),
+        F.lit("").alias("anchor"), F.when(F.col("l_linenumber") == 1, F.lit("md")).otherwise(F.lit("code")).alias("kind"), F.col("l_orderkey").cast("int").alias("line"),
+    )
+    return files, links, part.select(F.lit("x.md").alias("rel_path"), F.lit("x").alias("slug"))
+
+
+MENTIONS = """
+SELECT CASE WHEN l_linenumber = 1 THEN 'deep' WHEN p_size <= 10 THEN 'ambiguous' WHEN p_size <= 40 THEN 'unlinked' ELSE 'broken' END AS category,
+'docs/s/' || l_suppkey || '.md' AS src_rel_path, CAST(l_orderkey AS INT) AS line, CASE WHEN l_linenumber = 1 THEN '../../a/' ELSE '' END || l_partkey || '.go' AS target,
+CASE WHEN l_linenumber = 1 THEN '/repo/a/' || l_partkey || '.go' END AS suggest, CASE WHEN l_linenumber <> 1 AND p_size <= 10 THEN 2 END AS n
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query(MENTIONS)
+def lint_classify(spark, sf_dir):
+    files, links, headings = _mentions(spark, sf_dir)
+    report = L.analyze(links, files, headings, "repo")
+    return report.select("category", "src_rel_path", "line", "target", "suggest", F.when(F.col("candidates").isNotNull(), F.size("candidates")).alias("n"))
+
+
+@query(f"SELECT category, src_rel_path, line, target FROM ({MENTIONS}) WHERE src_rel_path IN ('docs/s/1.md', 'docs/s/2.md')")
+def lint_scope(spark, sf_dir):
+    files, links, headings = _mentions(spark, sf_dir)
+    scope = spark.createDataFrame([("docs/s/1.md",), ("docs/s/2.md",)], "rel_path string")
+    return L.keep_files(L.analyze(links, files, headings), scope).select("category", "src_rel_path", "line", "target")
+
+
+@query("""SELECT target, string_agg(rel_path, ',' ORDER BY rel_path) AS candidates FROM (
+SELECT p_partkey || '.go' AS target, 'a/' || p_partkey || '.go' AS rel_path FROM part WHERE p_size <= 40 UNION ALL
+SELECT p_partkey || '.go', 'b/' || p_partkey || '.go' FROM part WHERE p_size <= 10) WHERE target IN (SELECT l_partkey || '.go' FROM lineitem WHERE l_linenumber <> 1) GROUP BY 1""")
+def basename_candidates(spark, sf_dir):
+    files, links, _ = _mentions(spark, sf_dir)
+    return G.basename_candidates(links.filter("kind = 'code'"), files).select("target", F.array_join("candidates", ",").alias("candidates"))
