@@ -129,25 +129,38 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_rank[at], NONE)
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of every piece (special tokens as they are), trees of similar size stepping together."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(pieces)
-        classes: dict[int, list[int]] = {}
+    def encode_flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end (special tokens as they are) and each piece's number of ids; trees of
+        similar size step together."""
         raw = [p.encode("utf-8", "replace") for p in pieces]
-        for i, (p, b) in enumerate(zip(pieces, raw, strict=True)):
-            if p in self.special:
-                out[i] = np.array([self.special[p]], np.int64)
-            elif b:
-                classes.setdefault(max(1, (len(b) - 1).bit_length()), []).append(i)
-        for levels, members in classes.items():
-            step = max(1, (1 << 16) >> levels)
+        sizes, found = np.zeros(len(pieces), np.int64), []
+        special = [i for i, p in enumerate(pieces) if p in self.special] if self.special else []
+        if special:
+            found.append((np.array(special), np.array([self.special[pieces[i]] for i in special]), np.ones(len(special), np.int64)))
+        lengths = np.array([len(b) for b in raw], np.int64)
+        lengths[special] = 0
+        levels = np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1)))).astype(np.int64)
+        for level in np.unique(levels[lengths > 0]).tolist():
+            members = np.flatnonzero((levels == level) & (lengths > 0))
+            step = max(1, (1 << 16) >> level)
             for a in range(0, len(members), step):
                 part = members[a : a + step]
-                for i, ids in zip(part, self._forest([raw[i] for i in part], levels), strict=True):
-                    out[i] = ids
-        return out
+                found.append((part, *self._forest([raw[i] for i in part], level)))
+        for part, _, counts in found:
+            sizes[part] = counts
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        for part, ids, counts in found:
+            out[np.repeat(starts[part] - np.cumsum(counts) + counts, counts) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of every piece."""
+        ids, sizes = self.encode_flat(pieces)
+        ends = np.cumsum(sizes)
+        return [ids[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
-    def _forest(self, words: list[bytes], levels: int) -> Iterator[np.ndarray]:
+    def _forest(self, words: list[bytes], levels: int) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(words), 1 << levels
         sizes = np.array([len(w) for w in words])
         grid = np.zeros((n, width), np.int64)
@@ -194,11 +207,7 @@ class Vocabulary:
                     at = at >> 1
                     tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
             rows = rows[tree[rows, 1] != NONE]
-        counts = alive.sum(1)
-        ids = grid[alive]
-        ends = np.cumsum(counts)
-        for a, b in zip(ends - counts, ends, strict=True):
-            yield ids[a:b]
+        return grid[alive], alive.sum(1)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes put together where the file has a byte-level decoder (invalid UTF-8 gives
@@ -216,7 +225,7 @@ class Vocabulary:
 class Encoder:
     """A vocabulary with a bounded cache from pre-token to ``render(ids)``."""
 
-    def __init__(self, path: str, render, limit: int = 200_000):
+    def __init__(self, path: str, render, limit: int = 300_000):
         self.vocabulary, self.render, self.limit, self.cache = Vocabulary(path), render, limit, {}
 
     def batch(self, texts: list[str], group: int = 1 << 21) -> Iterator[list]:
@@ -244,7 +253,7 @@ class FlatEncoder:
     """Ids of many texts at once as one flat array: tokens are dictionary-encoded, and the ids of distinct
     pre-tokens are kept in a pool of bounded size."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.vocabulary, self.limit = Vocabulary(path), limit
         self._clear()
 
@@ -274,12 +283,11 @@ class FlatEncoder:
             self._clear()
         new = [w for w in words if w not in self.entry]
         if new:
-            made = self.vocabulary.encode_pieces(new)
-            sizes = np.array([len(x) for x in made], np.int64)
+            made, sizes = self.vocabulary.encode_flat(new)
             self.entry.update(zip(new, range(len(self.entry), len(self.entry) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, *made]).astype(np.uint32)
+            self.pool = np.concatenate([self.pool, made.astype(np.uint32)])
         rows = np.array([self.entry[w] for w in words], np.int64)[at] if words else np.empty(0, np.int64)
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
