@@ -341,3 +341,59 @@ SELECT p_partkey || '.go', 'b/' || p_partkey || '.go' FROM part WHERE p_size <=
 def basename_candidates(spark, sf_dir):
     files, links, _ = _mentions(spark, sf_dir)
     return G.basename_candidates(links.filter("kind = 'code'"), files).select("target", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""SELECT rel_path, CASE WHEN om IS NULL THEN 'add' WHEN nm IS NULL THEN 'delete' WHEN om = nm AND os = ns THEN 'skip' ELSE 'check' END AS action FROM
+(SELECT 'parts/' || p_partkey || '.md' AS rel_path, p_size AS om, p_size AS os FROM part WHERE p_partkey % 5 <> 0) o FULL JOIN
+(SELECT 'parts/' || p_partkey || '.md' AS rel_path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS nm, p_size AS ns FROM part WHERE p_partkey % 3 <> 0) n USING (rel_path)""")
+def sync_diff(spark, sf_dir):
+    from lodestone.sources.store import diff
+
+    part = table(spark, sf_dir, "part")
+    key, path = F.col("p_partkey"), F.concat(F.lit("parts/"), F.col("p_partkey"), F.lit(".md")).alias("rel_path")
+    old = part.filter(key % 5 != 0).select(path, F.col("p_size").alias("mtime_ns"), F.col("p_size").alias("size"))
+    now = part.filter(key % 3 != 0).select(path, F.when(key % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("mtime_ns"), F.col("p_size").alias("size"))
+    return diff(old, now)
+
+
+@query("SELECT DISTINCT 'parts/' || p_size AS rel_path, 'size-' || p_size AS slug FROM part")
+def headings_distinct(spark, sf_dir):
+    from lodestone.sources.store import headings
+
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("parts/"), size).alias("rel_path"), F.concat(F.lit("# Parts > ## Size: "), size).alias("heading"))
+    return headings(rows)
+
+
+@query("SELECT (SELECT count(*) FROM part) AS files, (SELECT max(p_size) FROM part) AS last_ns, (SELECT count(*) FROM lineitem) AS chunks")
+def index_stats(spark, sf_dir):
+    from lodestone.sources.store import index_stats as stats
+
+    return stats(table(spark, sf_dir, "part").select(F.col("p_size").alias("indexed_at_ns")), table(spark, sf_dir, "lineitem"))
+
+
+def _notes(spark, sf_dir) -> DataFrame:
+    """Documents as markdown notes: a title, a section per line, a link to the next document."""
+    body = F.concat(F.lit("# Note\n\n## "), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n## "), F.lit("\n\nnext: [n]("), F.col("doc_id") + 1, F.lit(".md)\n"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.lit(".md")).alias("rel_path"), body.alias("content"))
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    from lodestone.sources.markdown import markdown_chunks
+
+    return markdown_chunks(_notes(spark, sf_dir))
+
+
+@query()
+def links_extract(spark, sf_dir):
+    from lodestone.sources.markdown import markdown_links
+
+    return markdown_links(_notes(spark, sf_dir))
+
+
+@query()
+def toc_findings(spark, sf_dir):
+    from lodestone.sources.markdown import toc_findings as findings
+
+    return findings(_notes(spark, sf_dir), 20)
