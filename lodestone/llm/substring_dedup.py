@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import buckets_for, materialise, table, text_or_empty, without
+from lodestone.llm.common import buckets_for, materialise, mix64, table, text_or_empty, without
 from lodestone.llm.wordhash import bucket_entries, gathered, join, key_buckets, scatter, text_groups, window_hashes, word_hashes
 
 LOW = np.uint64((1 << 48) - 1)  # what the exchange keeps of a hash
@@ -57,7 +57,7 @@ class Windows:
 
 
 def _representatives(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(id, blob): per document, those of its representatives that another document has too."""
+    """(id, known): per document, those of its representatives that another document has too."""
 
     def emit(batches):
         for batch in batches:
@@ -81,29 +81,43 @@ def _representatives(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             keys, ids = keys[new], ids[new]
             same = keys[1:] == keys[:-1]
             shared = np.append(same, False) | np.append(False, same)
-            yield from per_document(ids[shared], keys[shared])
+            yield from to_documents(ids[shared], keys[shared], buckets)
 
     return _exchange(rows, emit, meet, buckets)
 
 
-def per_document(ids: np.ndarray, values: np.ndarray):
-    """One batch (id, blob) with each document's values."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    cuts = np.flatnonzero(np.diff(ids)) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ids)]])
+def to_documents(ids: np.ndarray, values: np.ndarray, buckets: int):
+    """Values on their way to the documents they belong to: a blob for each bucket of documents."""
     if len(ids):
-        blobs = [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[starts], pa.int64()), pa.array(blobs, pa.binary())], names=["id", "blob"])
+        order = np.argsort(ids, kind="stable")
+        docs, slots = np.unique(ids[order], return_inverse=True)
+        bucket = mix64(docs.view(np.uint64)) % np.uint64(buckets)
+        yield scatter(values[order], slots, docs[:, None], bucket[slots])
+
+
+def settle(batches):
+    """One row (id, known) for each document, with all its values."""
+    for _, blobs in gathered(batches):
+        docs, values, slots = bucket_entries([b for (b,) in blobs])
+        ids = docs[slots, 0]
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+        ends = np.append(starts[1:], len(ids))
+        found = [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(found, pa.binary())], names=["id", "known"])
 
 
 def _exchange(rows: DataFrame, emit, meet, buckets: int) -> DataFrame:
-    sent = rows.mapInArrow(emit, "bucket long, blob binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, blob binary")
+    """Entries meet by hash bucket, and what is found there goes back to the documents, by document bucket."""
+    found = rows
+    for step in (emit, meet):
+        found = found.mapInArrow(step, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return found.mapInArrow(settle, "id long, known binary")
 
 
 def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(id, blob): per document, where windows begin that also start in a document with a smaller id.
+    """(id, known): per document, where windows begin that also start in a document with a smaller id.
 
     ``rows`` are (id, text, known): a document and its shared representatives."""
 
@@ -116,9 +130,9 @@ def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 known = group.column(2).to_pylist()
                 ends = np.searchsorted(w.text[w.starts], np.arange(len(known) + 1))
                 keep = np.zeros(len(w.starts), bool)
-                for i, blobs in enumerate(known):
+                for i, own in enumerate(known):
                     if ends[i] < ends[i + 1]:
-                        keep[ends[i] : ends[i + 1]] = np.isin(w.least[ends[i] : ends[i + 1]] & LOW, np.frombuffer(b"".join(blobs), "<u8"))
+                        keep[ends[i] : ends[i + 1]] = np.isin(w.least[ends[i] : ends[i + 1]] & LOW, np.frombuffer(own, "<u8"))
                 at = w.starts[keep]
                 if len(at):
                     one, two = w.whole(at)
@@ -137,7 +151,7 @@ def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             new[1:] = (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])
             least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             drop = ids > least
-            yield from per_document(ids[drop], places[drop].astype("<u4"))
+            yield from to_documents(ids[drop], places[drop].astype(np.uint64), buckets)
 
     return _exchange(rows, emit, meet, buckets)
 
@@ -155,9 +169,8 @@ def substring_dedup(df: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     df = without(df, "n_words", "n_removed", "kept_sha256", "kept_text")
     buckets = buckets_for(df, text_col)
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    gather = lambda found: found.groupBy("id").agg(F.collect_list("blob").alias("known"))
-    shared = materialise(gather(_representatives(rows, window, buckets)), "halves")
-    starts = materialise(gather(_repeats(rows.join(shared, "id"), window, buckets)), "repeats")
+    shared = materialise(_representatives(rows, window, buckets), "halves")
+    starts = materialise(_repeats(rows.join(shared, "id"), window, buckets), "repeats")
     starts = starts.select(F.col("id").alias("__id"), F.col("known").alias("__starts"))
     joined = df.join(starts.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
 
@@ -165,12 +178,12 @@ def substring_dedup(df: DataFrame, window: int = 50, id_col: str = "doc_id", tex
         for batch in batches:
             texts, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             counts, removed, digests, kept = [], [], [], []
-            for text, blobs in zip(texts, starts, strict=True):
+            for text, begins in zip(texts, starts, strict=True):
                 words = text.encode("utf-8", "replace").split()
                 n = len(words)
-                if blobs:
+                if begins:
                     covered = np.zeros(n + 1, np.int32)
-                    at = np.unique(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64))
+                    at = np.unique(np.frombuffer(begins, "<u8").astype(np.int64))
                     at = at[at + window <= n]
                     covered[at] += 1
                     np.add.at(covered, at + window, -1)
