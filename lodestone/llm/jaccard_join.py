@@ -109,7 +109,7 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
     part. An empty table gives an empty result.
     """
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    buckets = buckets_for(rows, "text")
+    buckets = buckets_for(rows, "text", 16 << 20)  # a document is named once in each bucket, so few and large ones
 
     def describe(batches):
         for batch in batches:
