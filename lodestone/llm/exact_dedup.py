@@ -5,7 +5,8 @@ group of copies shuffles one row per task) and folds those seen more than once i
 filter: rows ``(word, bits)`` with at most ``2**(filter_bits - 6)`` words, which bounds the broadcast
 whatever the corpus size. Pass two probes the filter during the scan: rows that it rejects are unique
 for certain and pass straight through; only the others shuffle, as (id, digest), to be grouped by
-SHA-256. A filter that is too small for the corpus makes more rows shuffle but never changes a result.
+SHA-256. Groups that hold over a ``HOT_GROUPS``-th of those rows, of which there are fewer than that, meet
+their rows by broadcast, so a hot group is counted by map-side combining and never gathered. A filter that is too small for the corpus makes more rows shuffle but never changes a result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table, text_or_empty, without
 
+HOT_GROUPS = 1024
 OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -55,22 +57,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         .drop("__word", "__bits", "__h")
         .withColumn("text_sha256", F.sha2(text_or_empty(text_col).cast("binary"), 256))
     )
-    alone = (
-        probed.filter(~F.col("__maybe"))
-        .withColumn("keep_id", F.col(id_col))
-        .withColumn("group_size", F.lit(1).cast("long"))
-        .withColumn("kept", F.lit(True))
-    )
     maybe = probed.filter("__maybe")
     groups = maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(
-        F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size")
+    )
+    total = groups.agg(F.sum("__size")).scalar()
+    hot = groups.filter(F.col("__size") * HOT_GROUPS > total)  # so there are fewer than HOT_GROUPS of them
+    placed = probed.join(F.broadcast(hot), F.col("__maybe") & (F.col("text_sha256") == F.col("__sha")), "left")
+    here = (
+        placed.filter("NOT __maybe OR __sha IS NOT NULL")
+        .withColumn("keep_id", F.when(F.col("__maybe"), F.col("__keep")).otherwise(F.col(id_col)))
+        .withColumn("group_size", F.coalesce("__size", F.lit(1).cast("long")))
     )
     shuffled = (
-        maybe.join(groups, maybe.text_sha256 == groups["__sha"])
-        .drop("__sha")
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+        placed.filter("__maybe AND __sha IS NULL")
+        .drop("__sha", "__keep", "__size")
+        .join(groups, F.col("text_sha256") == F.col("__sha"))
+        .withColumn("keep_id", F.col("__keep"))
+        .withColumn("group_size", F.col("__size"))
     )
-    return alone.unionByName(shuffled).drop("__maybe")
+    whole = here.unionByName(shuffled).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return whole.drop("__maybe", "__sha", "__keep", "__size")
 
 
 def op1_exact_dedup(spark, sf_dir):
