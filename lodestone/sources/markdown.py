@@ -325,6 +325,16 @@ def markdown_links(files: DataFrame, directive: str = "lodestone-ignore") -> Dat
     return found.withColumnRenamed("rel_path", "src_rel_path")
 
 
+def toc_fixes(files: DataFrame) -> DataFrame:
+    """Rows (rel_path, content, fixed) of the files whose contents list a rewrite changes; those without headings stay."""
+
+    def rewritten(path: str, content: str) -> list[dict]:
+        fixed = toc_rewrite(content) if toc(content) else content
+        return [{"content": content, "fixed": fixed}] if fixed != content else []
+
+    return _over(files, rewritten, "content string, fixed string")
+
+
 def toc_findings(files: DataFrame, threshold: int = 100) -> DataFrame:
     """Rows (rel_path, lines, entries, reason): files over ``threshold`` lines whose contents are missing or stale."""
     made = _over(files, lambda p, c: [toc_audit(c)], "lines int, entries int, has_block boolean, up_to_date boolean")
