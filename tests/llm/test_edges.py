@@ -253,7 +253,7 @@ def test_ann(spark):
     rows = [(i, v.tolist(), "r") for i, v in enumerate(x)] + [(9001, None, "r"), (9100, [0.0] * 16, "r"), (9200, [float("nan")] * 16, "r"), (9300, [1.0, None] * 8, "r"), (None, [1.0] * 16, "r"), (9400, [1.0], "r")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got: dict = {}
-    for r in ann.nearest(df, df.filter("vec_id % 100 = 0"), block=7, chunk=256).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0"), per_round=7, chunk=256).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert sorted(got) == list(range(0, 3000, 100))
     hits = 0
@@ -268,6 +268,27 @@ def test_ann(spark):
     assert ann.nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
 
 
+def test_ann_repeated_rows_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    long, short = rng.normal(size=(300, 12)), rng.normal(size=(120, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(long)] + [(1000 + i, v.tolist()) for i, v in enumerate(short)]
+    rows += rows + [(7, long[8].tolist())]  # every row twice, and an id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=5, chunk=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q, found in got.items():
+        own = [(i, np.array(v)) for i, v in rows if i != q and len(v) == (12 if q < 1000 else 5)]
+        mine, best = np.array(next(v for i, v in rows if i == q)), {}
+        for i, v in own:
+            best[i] = min(best.get(i, np.inf), float(np.sqrt(((v - mine) ** 2).sum())))
+        want = sorted((d, i) for i, d in best.items())[:5]
+        assert len({i for i, _ in found}) == len(found) == 5 and all(abs(best[i] - d) < 1e-12 for i, d in found)
+        hits += len({i for i, _ in found} & {i for _, i in want})
+    assert len(got) == 21 and hits >= 0.95 * 5 * len(got)
+
+
 def test_pipeline_keeps_what_is_clean(spark, tmp_path):
     import corpus_pipeline
 
