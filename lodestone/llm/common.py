@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,22 +17,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below the one all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests on one machine, a local folder stands in.
+    Only where that setting is missing on a master of one machine, as in tests, a temporary folder stands in,
+    which is removed with the session's process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints"
+        if not _LOCAL:
+            _LOCAL.append(tempfile.TemporaryDirectory(prefix="lodestone-"))
+        base = "file://" + _LOCAL[0].name
     return f"{base.rstrip('/')}/lodestone/{what}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tracked(spark: SparkSession) -> Iterator[None]:
+    """Remove what is written by ``materialise`` inside once the block ends; what is read later must lie elsewhere."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made, when nothing will read them any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
+    if _MADE:
+        _MADE[-1].append(path)
     # what was shuffled on the way is not needed once the table is written
     clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
     try:

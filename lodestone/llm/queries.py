@@ -1,6 +1,6 @@
 """The training-data queries by name, with oracle SQL where SQL can express them."""
 
-from lodestone.llm import ann, exact_dedup
+from lodestone.llm import ann, exact_dedup, jaccard_join, substring_dedup
 from lodestone.llm.ann import op10_ann
 from lodestone.llm.bpe import op2_bpe
 from lodestone.llm.chat import op7_chat
@@ -28,4 +28,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op10_ann": ann.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_jaccard_join": jaccard_join.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op10_ann": ann.ORACLE}

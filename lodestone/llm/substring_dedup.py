@@ -1,10 +1,11 @@
 """Removal of repeated passages, level by level in windows of doubled length.
 
-At the first level a window has half (a quarter, ...) of the wanted length. A wanted window is represented by the
-least hash among the half windows inside it, which two equal windows share; so only those representatives are
-compared across documents, and a window goes on to the doubled length only if its representative was met in
-another document too. At the wanted length, windows that start in a document with a smaller id are removed, and
-every word that such a window covers.
+The wanted length is halved down to a few words (50: 25, 12, 6), and levels go up from there. At a level, a wanted
+window is represented by the least hash among the windows of the level's length inside it, which two equal windows
+share; only those representatives are compared across documents. A wanted window goes on to the doubled length if
+its representative was met in another document too, and documents without such windows are done. At the wanted
+length, windows that start in a document with a smaller id are removed, and every word that such a window covers.
+Levels end where no candidate survives.
 """
 
 from __future__ import annotations
@@ -14,13 +15,22 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import buckets_for, materialise, mix64, table, text_or_empty, without
+from lodestone.llm.common import buckets_for, discard, materialise, mix64, table, text_or_empty, without
 from lodestone.llm.wordhash import bucket_entries, gathered, join, key_buckets, scatter, text_groups, window_hashes, word_hashes
 
-LOW = np.uint64((1 << 48) - 1)  # what the exchange keeps of a hash
+LEAST = 6  # words of the shortest level, at least
+
+
+def levels(window: int) -> list[int]:
+    """Lengths from the shortest level up to the window: each is half the next, and there are two at least."""
+    out = [window]
+    while len(out) < 2 or out[0] // 2 >= LEAST:
+        out.insert(0, out[0] // 2)
+    return out
 
 
 def sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -32,58 +42,77 @@ def sliding(x: np.ndarray, n: int, least) -> np.ndarray:
 
 
 class Windows:
-    """All windows of a group of texts: half-window hashes, and each whole window's representative."""
+    """All windows of a group of texts."""
 
     def __init__(self, texts: pa.Array, window: int):
-        self.window, self.half = window, window // 2
-        words, self.counts = word_hashes(texts, lower=False)
+        self.window = window
+        self.words, self.counts = word_hashes(texts, lower=False)
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
-        n = max(0, len(words) - window + 1)
+        n = max(0, len(self.words) - window + 1)
         self.starts = np.flatnonzero(self.text[:n] == self.text[window - 1 :]) if n else np.empty(0, np.int64)
-        if len(self.starts):
-            self.halves = window_hashes(words, self.half)
-            self.least = sliding(self.halves, window - self.half + 1, np.minimum)[self.starts]
-        else:
-            self.halves = self.least = np.empty(0, np.uint64)
+
+    def least(self, size: int) -> np.ndarray:
+        """The representative of each window: the least hash of ``size`` consecutive words inside it."""
+        if not len(self.starts):
+            return np.empty(0, np.uint64)
+        return sliding(window_hashes(self.words, size), self.window - size + 1, np.minimum)[self.starts]
+
+    def candidates(self, size: int, known: pa.Array) -> np.ndarray:
+        """Which windows have a representative that ``known`` (a list for each text) holds."""
+        of = np.repeat(np.arange(len(known)), pc.list_value_length(known).to_numpy(zero_copy_only=False))
+        values = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        mine = mix64(self.text[self.starts].astype(np.uint64) + np.uint64(1))
+        return np.isin(self.least(size) ^ mine, values ^ mix64(of.astype(np.uint64) + np.uint64(1)))
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits for the windows that start at the given words: their halves joined, in two ways."""
-        a, b = self.halves[at], self.halves[at + self.half]
+        half = self.window // 2
+        hashes = window_hashes(self.words, half)
+        a, b = hashes[at], hashes[at + half]
         if self.window % 2:
-            c = self.halves[at + self.window - self.half]
+            c = hashes[at + self.window - half]
             return join(join(a, b), c), (join(join(c, a), b) >> np.uint64(32)).astype(np.uint32)
         return join(a, b), (join(b, a) >> np.uint64(32)).astype(np.uint32)
 
 
-def _representatives(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(id, known): per document, those of its representatives that another document has too."""
+def _extend(rows: DataFrame, window: int, before: int | None, size: int) -> DataFrame:
+    """(id, known): per document its representatives of a level that another document has too.
+
+    ``rows`` are (id, text), and known, the representatives of the level ``before``, if there is one.
+    """
 
     def emit(batches):
         for batch in batches:
             for group in text_groups(batch, 1):
                 w = Windows(group.column(1), window)
-                own = w.text[w.starts]
+                least, own = w.least(size), w.text[w.starts]
+                if before:
+                    keep = w.candidates(before, group.column(2))
+                    least, own = least[keep], own[keep]
                 change = np.ones(len(own), bool)
-                change[1:] = (own[1:] != own[:-1]) | (w.least[1:] != w.least[:-1])
-                ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
-                if len(own):
-                    yield scatter(w.least[change], own[change], ids, key_buckets(w.least[change], buckets))
-
-    def meet(batches):
-        for _, blobs in gathered(batches):
-            docs, keys, slots = bucket_entries([b for (b,) in blobs])
-            ids = docs[slots, 0]
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            keys, ids = keys[new], ids[new]
-            same = keys[1:] == keys[:-1]
-            shared = np.append(same, False) | np.append(False, same)
-            yield from to_documents(ids[shared], keys[shared], buckets)
-
-    return _exchange(rows, emit, meet, buckets)
+                change[1:] = (own[1:] != own[:-1]) | (least[1:] != least[:-1])
+                ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(least[change].view(np.int64)), pa.array(ids[own[change]])], names=["key", "id"])
+
+    entries = materialise(rows.mapInArrow(emit, "key long, id long"), "representatives")
+    # counted by partial aggregation; a hot key's entries are split by the engine's skew handling in the join
+    shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
+    return entries.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("known"))
+
+
+def _survivors(rows: DataFrame, window: int) -> DataFrame:
+    """(id, text, known): documents with windows that repeat at every level below the window, and their representatives."""
+    current, before = rows, None
+    for size in levels(window)[:-1]:
+        known = materialise(_extend(current, window, before, size), "level")
+        was, current = current, materialise(current.select("id", "text").join(known, "id"), "survivors")
+        if before:
+            discard(was)
+        before = size
+        if current.isEmpty():
+            break
+    return current
 
 
 def to_documents(ids: np.ndarray, values: np.ndarray, buckets: int):
@@ -108,52 +137,58 @@ def settle(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(found, pa.binary())], names=["id", "known"])
 
 
-def _exchange(rows: DataFrame, emit, meet, buckets: int) -> DataFrame:
-    """Entries meet by hash bucket, and what is found there goes back to the documents, by document bucket."""
-    found = rows
-    for step in (emit, meet):
-        found = found.mapInArrow(step, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return found.mapInArrow(settle, "id long, known binary")
-
-
 def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """(id, known): per document, where windows begin that also start in a document with a smaller id.
 
-    ``rows`` are (id, text, known): a document and its shared representatives."""
+    ``rows`` are (id, text, known) of ``_survivors``. What a group of documents can decide by itself goes straight to
+    the documents: of equal windows only those of the group's smallest id meet others, so a hot window is met once
+    for each group and not once for each document.
+    """
+    half = levels(window)[-2]
 
     def emit(batches):
         for batch in batches:
             for group in text_groups(batch, 1):
                 w = Windows(group.column(1), window)
-                if not len(w.starts):
+                at = w.starts[w.candidates(half, group.column(2))]
+                if not len(at):
                     continue
-                known = group.column(2).to_pylist()
-                ends = np.searchsorted(w.text[w.starts], np.arange(len(known) + 1))
-                keep = np.zeros(len(w.starts), bool)
-                for i, own in enumerate(known):
-                    if ends[i] < ends[i + 1]:
-                        keep[ends[i] : ends[i + 1]] = np.isin(w.least[ends[i] : ends[i + 1]] & LOW, np.frombuffer(own, "<u8"))
-                at = w.starts[keep]
-                if len(at):
-                    one, two = w.whole(at)
-                    own = w.text[at]
-                    ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
-                    places = at - w.first[own]
-                    yield scatter(one, own, ids, key_buckets(one, buckets), two, places)
+                one, two = w.whole(at)
+                own = w.text[at]
+                ids = group.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                places = at - w.first[own]
+                drop = above_least(ids[own], one, two)
+                for rows in to_documents(ids[own[drop]], places[drop].astype(np.uint64), buckets):
+                    yield pa.RecordBatch.from_arrays([pc.subtract(-1, rows.column(0)), rows.column(1)], names=["bucket", "blob"])
+                one, two, own, places = one[~drop], two[~drop], own[~drop], places[~drop]
+                yield scatter(one, own, ids[:, None], key_buckets(one, buckets), two, places)
 
     def meet(batches):
-        for _, blobs in gathered(batches):
+        for (bucket,), blobs in gathered(batches):
+            if bucket < 0:  # on its way to documents already
+                for (blob,) in blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                continue
             docs, keys, slots, extra, places = bucket_entries([b for (b,) in blobs])
             ids = docs[slots, 0]
-            order = np.lexsort((ids, extra, keys))
-            keys, extra, ids, places = keys[order], extra[order], ids[order], places[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])
-            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            drop = ids > least
+            drop = above_least(ids, keys, extra)
             yield from to_documents(ids[drop], places[drop].astype(np.uint64), buckets)
 
-    return _exchange(rows, emit, meet, buckets)
+    found = rows
+    for step in (emit, meet):
+        found = found.mapInArrow(step, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return found.mapInArrow(settle, "id long, known binary")
+
+
+def above_least(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which entries have an equal key (in two parts) at a smaller id."""
+    order = np.lexsort((ids, two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(ids), bool)
+    out[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
 def substring_dedup(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -167,10 +202,10 @@ def substring_dedup(df: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     if window < 4:
         raise ValueError("a window has at least four words")
     df = without(df, "n_words", "n_removed", "kept_sha256", "kept_text")
-    buckets = buckets_for(df, text_col)
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    shared = materialise(_representatives(rows, window, buckets), "halves")
-    starts = materialise(_repeats(rows.join(shared, "id"), window, buckets), "repeats")
+    left = _survivors(rows, window)
+    starts = materialise(_repeats(left, window, buckets_for(left, "text")), "repeats")
+    discard(left)
     starts = starts.select(F.col("id").alias("__id"), F.col("known").alias("__starts"))
     joined = df.join(starts.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
 
@@ -202,6 +237,24 @@ def substring_dedup(df: DataFrame, window: int = 50, id_col: str = "doc_id", tex
 
 
 def op4_substring_dedup(spark, sf_dir):
-    """Every document without passages that documents of smaller id have."""
+    """Every document without passages that documents of smaller id have.
+
+    Nulls, short and empty texts, ties, repeated rows and empty tables as in ``substring_dedup``.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, 50, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+keyed AS (SELECT doc_id, i, list_slice(words, i, i + 49) AS k FROM starts),
+bad AS (SELECT doc_id, i FROM keyed QUALIFY doc_id > min(doc_id) OVER (PARTITION BY k)),
+word AS (SELECT doc_id, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS i FROM w),
+marked AS (SELECT word.doc_id, x, word.i, coalesce(max(CASE WHEN bad.i IS NOT NULL THEN 1 END)
+           OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+           FROM word LEFT JOIN bad USING (doc_id, i)),
+kept AS (SELECT doc_id, sum(gone) AS gone, string_agg(x, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM marked GROUP BY 1)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -88,8 +88,8 @@ def text_groups(rows: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iter
 
 
 def key_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each key, from its upper bits; blobs store the lower 48."""
-    return (keys >> np.uint64(44)) % np.uint64(buckets)
+    """The bucket of each key, from all its bits, however many buckets there are; blobs store the lower 48."""
+    return mix64(keys) % np.uint64(buckets)
 
 
 def scatter(keys: np.ndarray, slots: np.ndarray, docs: np.ndarray, bucket: np.ndarray, *extra: np.ndarray) -> pa.RecordBatch:
