@@ -377,5 +377,5 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def op2_bpe(spark, sf_dir):
-    """Every document encoded and decoded again."""
+    """Every document encoded and decoded again; nulls, repeats and empty tables as in ``encode_ids``."""
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

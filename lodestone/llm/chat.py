@@ -1,8 +1,9 @@
 """Chat formatting into budgeted windows.
 
-Prefix sums of turn tokens place every turn on a line; a conversation's line is cut at multiples of a stride,
-and a turn belongs to the span in which it starts, so spans are turn-aligned and each can be built without the
-others. A window is the system turn (if the conversation begins with one), as much of the preceding span's
+Prefix sums of turn tokens place every turn on a line; a conversation's line is cut at multiples of a stride, half of
+what the system turn leaves of the budget, and a turn belongs to the span in which it starts, so spans are turn-aligned
+and each can be built without the others. A turn longer than the stride, which only the last of a span can be, has a
+window of its own, so no window of several turns exceeds the budget. A window is the system turn (if the conversation begins with one), as much of the preceding span's
 tail as the budget leaves (the history), then the span itself. Only assistant turns of the span itself are under
 the loss mask: repeated targets are masked, so each assistant text is trained on once.
 
@@ -73,8 +74,9 @@ def chat_windows(
     """Rows (conv, window, text, loss array<struct<start,end>>, repeated, n_tokens): the formatted windows.
 
     Windows of a conversation are numbered upwards, not always in steps of one. ``loss`` holds code-point ranges
-    of ``text`` under the mask; the first ``repeated`` turns of a window repeat earlier ones. A turn longer than
-    half of what the system turn leaves of the budget may make its window exceed the budget: no turn is cut.
+    of ``text`` under the mask; the first ``repeated`` turns of a window repeat earlier ones. No turn is cut, so only
+    a turn that doesn't fit with the system turn makes its window exceed the budget. A system turn of over half the
+    budget is not repeated: it is a turn like others.
     Null text and role count as empty; turns go by (turn, role, text), nulls first; equal turns are kept each;
     null conversations form one conversation. No turns give no windows.
     """
@@ -114,7 +116,7 @@ def chat_windows(
         (F.sum("total").over(by) - F.col("total")).alias("skip"), (F.sum("rows").over(by) - F.col("rows")).alias("above"),
         F.first("head").over(by).alias("head"),
     )
-    system = F.col("head.role") == "system"
+    system = (F.col("head.role") == "system") & (2 * F.col("head.n") <= budget)
     placed = (
         laid.join(totals, laid.c.eqNullSafe(totals.c2) & (laid.part == totals.part2))
         .withColumn("pos", F.col("pos") + F.col("above"))
@@ -124,9 +126,10 @@ def chat_windows(
         .withColumn("stride", F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("sys_n")) / 2)).cast("long"))
         .withColumn("span", F.expr("at div stride"))
         .withColumn("tail", ~F.col("is_head") & (F.col("n") <= history) & (F.col("at") >= (F.col("span") + 1) * F.col("stride") - history))
-        .withColumn("window", F.explode(F.when(F.col("tail"), F.expr("array(span, span + 1)")).otherwise(F.expr("array(span)"))))
+        .withColumn("own", F.when(~F.col("is_head") & (F.col("n") > F.col("stride")), F.expr("2 * span + 1")).otherwise(F.expr("2 * span")))
+        .withColumn("window", F.explode(F.when(F.col("tail") & (F.col("own") == 2 * F.col("span")), F.expr("array(own, own + 1, own + 2)")).otherwise(F.expr("array(own)"))))
     )
-    item = F.struct("pos", "role", "text", "n", (F.col("window") == F.col("span")).alias("own"))
+    item = F.struct("pos", "role", "text", "n", (F.col("window") == F.col("own")).alias("own"))
     grouped = placed.groupBy("c", "window").agg(
         F.sort_array(F.collect_list(item)).alias("items"),
         F.max(F.when(system, F.struct("head.text", "head.n"))).alias("sys"),
@@ -213,7 +216,10 @@ def chat_digests(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 
 def op7_chat(spark, sf_dir):
-    """All conversations, and one made of control strings, formatted and read back."""
+    """All conversations, and one made of control strings, formatted and read back.
+
+    Nulls, empty and long turns, repeated rows and empty tables as in ``chat_windows``.
+    """
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

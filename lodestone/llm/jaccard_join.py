@@ -2,18 +2,29 @@
 
 Documents with equal n-gram sets form a class and are one row of the matrix. Columns met in one class only add
 nothing to any product; what remains of a row must reach the least overlap its size allows, else the row is
-discarded. Of the rows that are left, the rarest columns, as many as leave less than the least overlap behind,
-must be shared by any two that link; they tie rows together into clusters, and only rows of one cluster are
-multiplied. Clusters are cut into blocks of bounded size, and the product of two blocks accumulates overlap
-counts, skipping rows that are linked already and sizes too far apart. All of this is exact up to collisions of
-hashes: 64 bits for a whole set, 48 bits and the bucket for an n-gram.
+discarded. Of the rows that are left, the rarest columns, as many as leave less than the least overlap behind, must be
+shared by any two that link: they are the rows' ties, and only tied rows are multiplied.
+
+Copies of one text are tied by nearly all their columns. So the best connected row of every tie is multiplied with the
+others of that tie first, which joins most near copies in a pass whose size grows with the ties. Then only ties between
+different components are left. Their rows are multiplied in blocks, either the rows of each tie or those of each cluster of
+ties, whichever copies rows less often; blocks of rows of one component, of sizes too far apart, or whose columns of their
+own rule out a link are not paired. The product of two blocks accumulates overlap counts and skips rows that are linked
+already.
+
+Columns that a large share of all rows has, and sets that a large share of all documents has, are found first and take
+another way, so that no bucket gathers them. Results are exact up to collisions of hashes: 64 bits for a whole set, 48 for
+an n-gram.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import buckets_for, materialise, mix64, table, text_or_empty
@@ -21,6 +32,9 @@ from lodestone.llm.components import components
 from lodestone.llm.wordhash import bucket_entries, gathered, key_buckets, scatter, text_groups, window_hashes, word_hashes
 
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 21
+STARS = 2  # passes in which the best connected rows meet the others
+HOT_SHARE, HOT_LEAST, HOT_COLUMNS = 10_000, 1024, 1 << 17  # hot: in a 10,000th of all rows, and 1024; at most so many columns
+EVERYWHERE = 1 << 30  # the frequency given to a hot column
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +81,18 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def multiply(sizes: np.ndarray, rows: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def may_link(n_a, n_b, k_a, k_b, percent: int):
+    """Whether sizes allow a link: n columns in all, k of them shared with any other row."""
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return sizes & ((100 - percent) * np.minimum(k_a, k_b) >= percent * ((n_a - k_a) + (n_b - k_b)))
+
+
+def multiply(sizes: np.ndarray, rows: list[np.ndarray], side: np.ndarray | None, percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among rows (of the two sides, if sides are given) that suffice to connect all that are linked.
 
     Row by row of the sparse product: overlaps of one row with all others are counted over the postings of its
-    columns. Rows of one component so far need no further product; sizes too far apart can't link.
+    columns. Rows of one component so far (``group``, if some are known) need no further product; rows whose sizes rule
+    out a link neither.
     """
     n = len(rows)
     lengths = np.array([len(r) for r in rows])
@@ -81,9 +102,10 @@ def multiply(sizes: np.ndarray, rows: list[np.ndarray], side: np.ndarray | None,
     posting, bounds = owner[by_column], np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(columns)))])
     starts = np.concatenate([[0], np.cumsum(lengths)])
     weight = np.bincount(owner, np.diff(bounds)[inverse], minlength=n) / np.maximum(lengths, 1)
-    group, found = np.arange(n), []
+    group = np.arange(n) if group is None else np.unique(group, return_inverse=True)[1]
+    found = []
     for i in np.argsort(-weight, kind="stable"):  # the best connected first: they gather the rest
-        fits = (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        fits = (group != group[i]) & may_link(sizes, sizes[i], lengths, lengths[i], percent)
         if side is not None:
             fits &= side != side[i]
         if not fits.any():
@@ -100,25 +122,48 @@ def multiply(sizes: np.ndarray, rows: list[np.ndarray], side: np.ndarray | None,
     return found
 
 
-def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id), one for every row of ``df`` with a known id.
+def link_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    Sets are the distinct n-grams of words of the lower-cased text (see ``shingle_sets``); rows link when
-    100 * overlap >= percent * union. component_id is the smallest id reachable by links, itself included. Rows
-    without words are linked with nothing. Rows that repeat an id are given each; a row with a null id takes no
-    part. An empty table gives an empty result.
-    """
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    buckets = buckets_for(rows, "text", 16 << 20)  # a document is named once in each bucket, so few and large ones
+
+def sets_of(rows: DataFrame, n: int) -> DataFrame:
+    """(id, n, node): every row's set size and the 64 bits that stand for its set; on the first row of a group of
+    documents also the columns that many of the group's sets have, and in how many."""
 
     def describe(batches):
         for batch in batches:
             for group in text_groups(batch, 1):
                 h, of, sizes = shingle_sets(group.column(1), n)
                 keys = set_keys(h, of, group.num_rows)
-                yield pa.RecordBatch.from_arrays([group.column(0), pa.array(sizes, pa.int64()), pa.array(keys)], names=["id", "n", "node"])
+                _, first = np.unique(keys, return_index=True)
+                distinct = np.zeros(group.num_rows, bool)
+                distinct[first] = True
+                columns, times = np.unique(h[distinct[of]], return_counts=True)
+                often = times >= max(8, len(first) // 50)
+                none = [None] * (group.num_rows - 1)
+                heavy = pa.array([columns[often].view(np.int64).tolist(), *none], pa.list_(pa.int64()))
+                counts = pa.array([times[often].tolist(), *none], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([group.column(0), pa.array(sizes, pa.int64()), pa.array(keys), heavy, counts], names=["id", "n", "node", "heavy", "times"])
+
+    return rows.mapInArrow(describe, "id long, n long, node long, heavy array<long>, times array<long>")
+
+
+def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n, k, w, h, rare): a row for each class that shares enough columns to link: its size, how many columns it
+    shares, how common they are, the shared columns themselves, and its ties."""
+    spark = rows.sparkSession
+    buckets = buckets_for(rows, "text", 16 << 20)  # a document is named once in each bucket, so few and large ones
+    least = max(HOT_LEAST, described.count() // HOT_SHARE)
+    heavy = described.filter("heavy IS NOT NULL").select(F.explode(F.arrays_zip("heavy", "times")).alias("x"))
+    heavy = heavy.groupBy(F.col("x.heavy").alias("g")).agg(F.sum("x.times").alias("c")).filter(F.col("c") >= least)
+    # both lists are bounded: so many columns at most, and fewer than HOT_SHARE sets
+    hot = np.sort(heavy.orderBy(F.desc("c"), "g").limit(HOT_COLUMNS).select("g").toArrow().column(0).to_numpy().view(np.uint64))
+    common = {r[0]: r[1] for r in classes.filter(F.col("c") > least).select("node", "least").collect()}
+    shared = spark.sparkContext.broadcast((hot, common))
 
     def emit(batches):
+        hot, common = shared.value
         for batch in batches:
             for group in text_groups(batch, 1):
                 h, of, sizes = shingle_sets(group.column(1), n)
@@ -126,12 +171,26 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
                 _, first = np.unique(keys, return_index=True)  # of equal sets in a group one speaks for all
                 speaks = np.zeros(group.num_rows, bool)
                 speaks[first] = True
-                mine = speaks[of]
+                if common:  # and of a very common set, one in all
+                    for i, (own, key) in enumerate(zip(group.column(0).to_pylist(), keys.tolist(), strict=True)):
+                        if key in common:
+                            speaks[i] = common[key] == own
+                docs, mine = np.column_stack([keys, sizes]), speaks[of]
+                everywhere = np.isin(h, hot) & mine
+                mine &= ~everywhere
                 if mine.any():
-                    yield scatter(h[mine], of[mine], np.column_stack([keys, sizes]), key_buckets(h[mine], buckets))
+                    yield scatter(h[mine], of[mine], docs, key_buckets(h[mine], buckets))
+                if everywhere.any():
+                    x, y = h[everywhere], of[everywhere]
+                    made = scatter(x, y, docs, key_buckets(keys.view(np.uint64), buckets)[y], np.full(len(x), EVERYWHERE))
+                    yield pa.RecordBatch.from_arrays([pc.subtract(-1, made.column(0)), made.column(1)], names=["bucket", "blob"])
 
     def meet(batches):
-        for _, blobs in gathered(batches):
+        for (bucket,), blobs in gathered(batches):
+            if bucket < 0:  # on its way to the rows already
+                for (blob,) in blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                continue
             docs, h, slots = bucket_entries([b for (b,) in blobs])
             nodes, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
             table, row = docs[first], of_doc[slots]
@@ -147,20 +206,23 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
             order = np.argsort(row[keep], kind="stable")
             h, row, df = h[keep][order], row[keep][order], df[keep][order]
             if len(h):
-                yield scatter(h, row, table, key_buckets(nodes.view(np.uint64), buckets)[row], np.minimum(df, 1 << 30))
+                yield scatter(h, row, table, key_buckets(nodes.view(np.uint64), buckets)[row], np.minimum(df, EVERYWHERE - 1))
 
     def bound(batches):
         for _, blobs in gathered(batches):
             docs, h, slots, df = bucket_entries([b for (b,) in blobs])
             _, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
             table, row = docs[first], of_doc[slots]
+            order = np.lexsort((h, df, row))  # rarest columns first
+            h, row, df = h[order], row[order], df[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            h, row, df = h[new], row[new], df[new]
             shared = np.bincount(row, minlength=len(table))
             fits = 100 * shared >= percent * table[:, 1]  # a row must reach the least overlap of its size
-            keep = fits[row]
-            h, row, df = h[keep], row[keep], df[keep]
-            order = np.lexsort((h, df, row))  # rarest columns first
-            h, row = h[order], row[order]
-            table, shared = table[fits], shared[fits]
+            weight = np.bincount(row, np.minimum(df, 1 << 20), minlength=len(table)).astype(np.int64) // table[:, 1]
+            h = h[fits[row]]
+            table, shared, weight = table[fits], shared[fits], weight[fits]
             ends = np.cumsum(shared)
             take = table[:, 1] - least_overlap(table[:, 1], percent) + 1 - (table[:, 1] - shared)
             for a in range(0, len(table), 1000):
@@ -168,49 +230,190 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
                 own = [h[ends[i] - shared[i] : ends[i]] for i in part]
                 rare = [x[: max(0, take[i])].view(np.int64) for x, i in zip(own, part, strict=True)]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)]).astype(np.int32), pa.array(np.concatenate(rare)))
-                columns = [pa.array(table[part, 0].copy()), pa.array(table[part, 1].copy()), pa.array(shared[part].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in own], pa.binary()), lists], names=["node", "n", "k", "h", "rare"])
+                columns = [pa.array(x[part].astype(np.int64)) for x in (table[:, 0], table[:, 1], shared, weight)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in own], pa.binary()), lists], names=["node", "n", "k", "w", "h", "rare"])
 
-    described = materialise(rows.mapInArrow(describe, "id long, n long, node long"), "sets")
-    met = rows.mapInArrow(emit, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = rows.filter("id IS NOT NULL").mapInArrow(emit, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     by_node = met.mapInArrow(meet, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    left = materialise(by_node.mapInArrow(bound, "node long, n long, k long, h binary, rare array<long>"), "rows")
-    ties = left.select("node", F.explode("rare").alias("g"))
-    least = ties.groupBy("g").agg(F.min("node").alias("u"), F.max("node").alias("most")).filter("u <> most").select("g", "u")
-    clusters = components(ties.join(least, "g").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
-
-    sized = left.select("node", "n", "k", "h").join(clusters, "node")
-    counts = sized.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"))
-    cut = counts.withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("entries") / BLOCK_ENTRIES)).cast("long"))
+    return by_node.mapInArrow(bound, "node long, n long, k long, w long, h binary, rare array<long>")
+
+
+def ties_of(left: DataFrame) -> DataFrame:
+    """(g, node, n, k, w): the rows of each tie that more than one row has; of ties with the same rows, one."""
+    ties = left.select(F.explode("rare").alias("g"), "node", "n", "k", "w")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    groups = ties.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("m"), *same).filter("c > 1")
+    return ties.join(groups.groupBy("c", "m", "s0", "s1").agg(F.min("g").alias("g")).select("g"), "g")
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with comp: the component of node so far, itself if there is none."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("node"))
+    known = labels.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    return rows.join(known, F.col("node") == F.col("__n"), "left").withColumn("comp", F.coalesce("__c", "node")).drop("__n", "__c")
+
+
+def fitting(n: str, k: str, m: str, j: str, percent: int) -> Column:
+    """``may_link`` as a column."""
+    sizes = F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+    return sizes & F.expr(f"{100 - percent} * least({k}, {j}) >= {percent} * ({n} - {k} + {m} - {j})")
+
+
+def star_links(members: DataFrame, left: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each tie's best connected row with the other rows of the tie, and those rows as (g, u)."""
+    best = members.groupBy("g").agg(F.max(F.struct("w", "node", "n", "k", "comp")).alias("b"))
+    best = best.select("g", F.col("b.node").alias("u"), F.col("b.n").alias("un"), F.col("b.k").alias("uk"), F.col("b.comp").alias("uc"))
+    pairs = members.join(best, "g").filter(F.col("comp") != F.col("uc")).filter(fitting("n", "k", "un", "uk", percent))
+    pairs = materialise(pairs.select("u", "node").distinct(), "stars")
+    blocks = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("long").alias("blocks"))
+    rows = left.select("node", "n", "h")
+    others = pairs.join(blocks, "u").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(rows, "node").select("u", "b", F.lit(1).alias("side"), "node", "n", "h")
+    hubs = blocks.join(rows.withColumnRenamed("node", "u"), "u").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    hubs = hubs.select("u", "b", F.lit(0).alias("side"), F.col("u").alias("node"), "n", "h")
+
+    def product(batches):
+        hub, size, current = np.empty(0, np.uint64), 0, None
+        for batch in batches:
+            found = []
+            for u, b, side, node, n, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if side == 0:
+                    hub, size, current = np.sort(np.frombuffer(h, "<u8")), n, (u, b)
+                    continue
+                if current != (u, b):
+                    raise ValueError("a row without its best connected row")
+                own = np.frombuffer(h, "<u8")
+                at = np.searchsorted(hub, own)
+                overlap = int((hub[np.minimum(at, len(hub) - 1)] == own).sum())
+                if 100 * overlap >= percent * (size + n - overlap):
+                    found.append((u, node))
+            if found:
+                yield link_rows(found)
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = hubs.unionByName(others).repartition(parts, "u", "b").sortWithinPartitions("u", "b", "side").mapInArrow(product, "u long, v long")
+    return links, best.select("g", "u")
+
+
+CELL = ["big", "sc", "heavy"]
+
+
+def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (t, node, comp, big, sc, heavy) of groups ``t`` with their cells, and the pairs of cells to be multiplied.
+
+    A group of at most a block is one cell. A larger one is cut by component (of those that fill a block), by size
+    class, and by whether a row's own columns leave it room for such another row; cells are cut into ``blocks``. Pairs
+    of cells hold ``copies``: how many rows they send out.
+    """
+    whole = members.groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    whole = whole.filter("c1 <> c2").withColumn("large", (F.col("rows") > BLOCK_ROWS) | (F.col("entries") > BLOCK_ENTRIES)).select("t2", "large")
+    of_comp = members.groupBy(F.col("t").alias("t3"), F.col("comp").alias("comp3")).agg(F.count(F.lit(1)).alias("of_comp")).filter(F.col("of_comp") >= BLOCK_ROWS)
+    size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001)) if percent < 100 else F.col("n")
+    heavy = F.expr(f"{2 * percent} * (n - k) > {100 - percent} * k")
+    none = F.lit(0).cast("long")
+    rows = (
+        members.join(whole, F.col("t") == F.col("t2"))
+        .join(of_comp, F.col("large") & (F.col("t") == F.col("t3")) & (F.col("comp") == F.col("comp3")), "left")
+        .select(
+            "t", "node", "comp", "k",
+            F.when(F.col("of_comp").isNotNull(), F.col("comp")).alias("big"),
+            F.when(F.col("large"), size_class.cast("long")).otherwise(none).alias("sc"),
+            (F.col("large") & heavy).alias("heavy"),
+        )
+    )
+    cells = rows.groupBy("t", *CELL).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("entries") / BLOCK_ENTRIES)).cast("long")
+    cells = cells.select("t", F.struct(*CELL).alias("cell"), "rows", blocks.alias("blocks"))
+    other = cells.select(F.col("t").alias("t2"), F.col("cell").alias("to"), F.col("blocks").alias("to_blocks"), F.col("rows").alias("to_rows"))
+    a, b = F.col("cell"), F.col("to")
+    wanted = (F.abs(a["sc"] - b["sc"]) <= 1) & ~(a["heavy"] & b["heavy"])
+    wanted &= a["big"].isNull() | b["big"].isNull() | (a["big"] != b["big"])
+    pairs = cells.join(other, (F.col("t") == F.col("t2")) & wanted).filter(~a.eqNullSafe(b) | (F.col("rows") > 1))
+    return rows.drop("k"), pairs.select("t", "cell", "blocks", "to", "to_blocks", (F.col("rows") * F.col("to_blocks")).alias("copies"))
+
+
+def block_links(members: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the rows of ties (g, node, n, k, comp) that lie in different components so far."""
+    live = members.groupBy(F.col("g").alias("g2")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("g2")
+    members = materialise(members.join(live, F.col("g") == F.col("g2"), "left_semi").select("g", "node", "n", "k", "comp"), "ties")
+    first = members.groupBy(F.col("g").alias("g2")).agg(F.min("node").alias("u"))
+    clusters = components(members.join(first, F.col("g") == F.col("g2")).filter("u <> node").select("u", F.col("node").alias("v")).distinct())
+    named = members.join(clusters, "node").withColumnRenamed("component", "cluster")
+    by_tie, tie_pairs = (materialise(x, "cells") for x in cut_blocks(named.withColumn("t", F.struct(F.lit(0).alias("way"), F.col("g").alias("of"))), percent))
+    whole = named.select("cluster", "node", "n", "k", "comp").distinct().withColumn("t", F.struct(F.lit(1).alias("way"), F.col("cluster").alias("of")))
+    by_cluster, cluster_pairs = (materialise(x, "cells") for x in cut_blocks(whole, percent))
+    # whichever way copies rows less often, cluster by cluster
+    of_tie = named.select(F.col("g").alias("tie"), F.col("cluster").alias("c")).distinct()
+    cost = tie_pairs.join(of_tie, F.col("t.of") == F.col("tie")).groupBy("c").agg(F.sum("copies").alias("by_tie"))
+    other = cluster_pairs.groupBy(F.col("t.of").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
+    ways = cost.join(other, F.col("c") == F.col("c2")).select("c", (F.col("by_tie") < F.col("by_cluster")).alias("ties"))
+    take = of_tie.join(ways, "c").filter("ties").select(F.struct(F.lit(0).alias("way"), F.col("tie").alias("of")).alias("t"))
+    take = take.unionByName(ways.filter("NOT ties").select(F.struct(F.lit(1).alias("way"), F.col("c").alias("of")).alias("t")))
+    rows = by_tie.unionByName(by_cluster).withColumn("cell", F.struct(*CELL)).drop(*CELL)
+    pairs = tie_pairs.unionByName(cluster_pairs).join(take, "t", "left_semi").select(F.col("t").alias("t2"), F.col("cell").alias("from"), "blocks", "to", "to_blocks")
+    own, x, alike = F.col("own"), F.col("x"), F.col("cell").eqNullSafe(F.col("to"))
+    ahead = F.hash("cell", F.lit(1)) < F.hash("to", F.lit(1))
+    ahead = F.when(F.hash("cell", F.lit(1)) == F.hash("to", F.lit(1)), F.to_json("cell") < F.to_json("to")).otherwise(ahead)
     placed = (
-        sized.join(cut, sized.component == cut.c)
+        rows.join(pairs, (F.col("t") == F.col("t2")) & F.col("cell").eqNullSafe(F.col("from")))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "h")
+        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1)))
+        .withColumn("a", F.when(alike, F.least(own, x)).when(ahead, own).otherwise(x))
+        .withColumn("b", F.when(alike, F.greatest(own, x)).when(ahead, x).otherwise(own))
+        .withColumn("side", F.when(alike, F.when(F.col("a") == F.col("b"), F.lit(2)).otherwise((own == F.col("b")).cast("int"))).otherwise((~ahead).cast("int")))
+        .withColumn("at", F.when(ahead, F.xxhash64("t", "cell", "to", "a", "b")).otherwise(F.xxhash64("t", "to", "cell", "a", "b")))
+        .select("at", "side", "node", "comp")
     )
+    placed = placed.join(left.select("node", "n", "h"), "node").select("at", "side", "node", "n", "comp", "h")
 
     def product(batches):
-        for (_, i, j), members in gathered(batches, 3):
+        for _, members in gathered(batches):
             members.sort(key=lambda x: x[1])
-            rows = [np.frombuffer(x[3], "<u8") for x in members]
-            side = None if i == j else np.array([x[0] for x in members])
-            links = multiply(np.array([x[2] for x in members]), rows, side, percent)
+            side = np.array([x[0] for x in members])
+            links = multiply(
+                np.array([x[2] for x in members]), [np.frombuffer(x[4], "<u8") for x in members], None if side[0] == 2 else side, percent,
+                np.array([x[3] for x in members]),
+            )
             if links:
-                u, v = zip(*((members[a][1], members[b][1]) for a, b in links), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(product, "u long, v long")
-    linked = components(links).withColumnRenamed("component", "joined")
-    # a class speaks by its smallest id, a component by the smallest of its classes
-    classes = described.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    named = classes.join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    named = named.select("node", "least", F.coalesce("joined", "node").alias("joined"))
-    smallest = named.groupBy(F.col("joined").alias("whole")).agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, named.joined == smallest.whole).select(F.col("node").alias("of"), "component_id")
-    return described.join(named, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+                yield link_rows([(members[a][1], members[b][1]) for a, b in links])
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(product, "u long, v long")
+
+
+def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_shingles, component_id), one for every row of ``df``.
+
+    Sets are the distinct n-grams of words of the lower-cased text (see ``shingle_sets``); rows link when
+    100 * overlap >= percent * union. component_id is the smallest id reachable by links, itself included. Rows
+    without words are linked with nothing. Rows that repeat an id are given each; a row with a null id is linked with
+    nothing and has a null component. Ids of other types than integers are cast to long. An empty table gives an empty result.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    described = materialise(sets_of(rows, n), "sets")
+    classes = materialise(
+        described.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")), "classes"
     )
+    left = materialise(matrix_rows(rows, described, classes, n, percent), "rows")
+    ties = materialise(ties_of(left), "ties")
+    links, labels, open_ties = None, None, ties
+    for _ in range(STARS):
+        open_ties = labelled(open_ties.drop("comp"), labels)
+        found, best = star_links(open_ties, left, percent)
+        found = materialise(found, "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        done = labelled(best.withColumnRenamed("u", "node"), labels).select(F.col("g").alias("g2"), F.col("comp").alias("done"))
+        here = labelled(open_ties.drop("comp"), labels)
+        open_ties = materialise(here.join(done, F.col("g") == F.col("g2")).filter("comp <> done").drop("g2", "done"), "ties")
+    links = links.unionByName(materialise(block_links(labelled(ties, labels), left, percent), "links"))
+    # a class speaks by its smallest id, so the smallest of a component is its smallest id
+    named = classes.select("node", "least")
+    ends = links.join(named.select(F.col("node").alias("u"), F.col("least").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("least").alias("b")), "v")
+    linked = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id2"), "component")
+    named = named.join(linked, F.col("least") == F.col("id2"), "left").select(F.col("node").alias("of"), F.coalesce("component", "least").alias("component_id"))
+    known = (F.col("node") == F.col("of")) & (F.col("n") > 0) & F.col("id").isNotNull()
+    return described.join(named, known, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +427,10 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id
 
 
 def op3_jaccard_join(spark, sf_dir):
-    """Every document with the size of its 5-gram set and the smallest id it is linked with."""
+    """Every document with the size of its 5-gram set and the smallest id it is linked with.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``jaccard_components``.
+    """
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 

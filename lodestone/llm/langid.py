@@ -83,6 +83,7 @@ class LanguageFilter:
         return (hashes & m).astype(np.int64), (hashes >> np.uint64(32) & m).astype(np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """The language and score of each text; ``und`` and 0 without letters or without languages, ties to the first."""
         bits, named, scores = int(len(self.slots)).bit_length() - 1, [], []
         for a, b in _groups(texts):
             h, of, n_letters = grams(texts[a:b])
@@ -102,16 +103,16 @@ class LanguageFilter:
 
 def fit(
     df: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = 1500, slot_bits: int = 20,
-    least_share: float = 0.004, beside_best: float = 0.15,
+    least_share: float = 0.004, beside_best: float = 0.15, id_col: str = "doc_id",
 ) -> LanguageFilter:
     """A filter from labelled rows; rows without text or language teach nothing.
 
-    About ``per_language`` rows of each language are sampled by a hash of their content (the documented bound
-    of the fit). An n-gram is a language's own if at least ``least_share`` of its sampled texts hold it and
+    About ``per_language`` rows of each language are drawn by a hash of their ids (the documented bound of the
+    fit); rows with a null id are drawn together or not at all. An n-gram is a language's own if at least ``least_share`` of its sampled texts hold it and
     that share is at least ``beside_best`` of the largest share any language has, which keeps foreign passages
     and wrong labels out. At most 64 languages.
     """
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.rand(seed=7).alias("r")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 24)) / float(1 << 24)).alias("r")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if len(languages) > 64:
@@ -175,8 +176,12 @@ def predict(df: DataFrame, model: LanguageFilter, text_col: str = "text") -> Dat
 
 
 def op6_langid(spark, sf_dir):
-    """The language of every document, learnt from the documents that are not held out."""
+    """The language of every document, learnt from the documents that are not held out.
+
+    One row for every document, repeated ones too; a null id is not held out. Null, empty and letterless texts and
+    empty tables as in ``predict`` and ``fit``.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
     model = fit(docs.filter(~F.col("held_out")))
     return predict(docs.select("doc_id", "held_out", "text"), model).drop("text")

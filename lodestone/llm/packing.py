@@ -100,6 +100,9 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
+SLOT_ROWS = 200_000  # pieces of one length are numbered in slots of about so many rows at most
+
+
 def best_fit_pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacity: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset: each piece's sequence and its place there, gapless from 0.
 
@@ -109,7 +112,7 @@ def best_fit_pack(pieces: DataFrame, keys: list[str], length_col: str = "length"
     twice, so pass a materialised table where making it is expensive.
     """
     pieces = without(pieces, "sequence_id", "offset")
-    slots = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.count() // SLOT_ROWS)
     salted = pieces.withColumn("__slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
     sizes = salted.groupBy(length_col, "__slot").agg(F.count(F.lit(1)).alias("__n"))
     histogram = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum("__n")).collect()}  # at most capacity rows
@@ -197,5 +200,8 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
 
 
 def op8_packing(spark, sf_dir):
-    """All documents packed into sequences of at most 4096 tokens."""
+    """All documents packed into sequences of at most 4096 tokens.
+
+    Null and empty texts, null ids, repeated rows and empty tables as in ``token_pieces`` and ``best_fit_pack``.
+    """
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

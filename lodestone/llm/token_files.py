@@ -101,7 +101,7 @@ class DacReader:
 
 
 def write_token_files(
-    df: DataFrame, path: str, tokens_of, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20
+    df: DataFrame, path: str, tokens_of, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22
 ) -> None:
     """Write every row's ids, as ``tokens_of(texts)`` yields them (bytes of unsigned 32-bit integers, little-endian), to files below ``path``.
 
@@ -110,7 +110,7 @@ def write_token_files(
     Ids of rows must be integers.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    parts = buckets_for(rows, "text")
+    parts = buckets_for(rows, "text", 16 << 20)
 
     def shard(part: int, before: int, ids: list, blobs: list[bytes]) -> bytes:
         sizes = np.array([len(x) // 4 for x in blobs], np.int64)
@@ -203,5 +203,8 @@ def token_file_digests(df: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark, sf_dir):
-    """Every document's place in the token files."""
+    """Every document's place in the token files.
+
+    Null and empty texts, null ids, repeated rows and empty tables as in ``write_token_files``.
+    """
     return token_file_digests(table(spark, sf_dir, "documents"))

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,21 +303,23 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, seed: int = 5, b
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500) -> Network:
-    """A network from about ``per_label`` labelled texts of each label, sampled at random (the bound of the fit).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500, max_chars: int = 1 << 16) -> Network:
+    """A network from about ``per_label`` labelled texts of each label, drawn by a hash of their ids (the bound of the fit).
 
-    Rows with a null text or label teach nothing.
+    Rows with a null id, text or label teach nothing, nor do texts of over ``max_chars``; a row that is labelled twice
+    counts twice. Without labels the network is the one before learning.
     """
-    labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"), F.rand(seed=3).alias("__r"))
+    drawn = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 24)) / float(1 << 24)
+    labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"), drawn.alias("__r"))
     counts = {r[0]: r[1] for r in labels.filter("__y IN (0, 1)").groupBy("__y").count().collect()}
     if not counts:
         return Network.fresh()
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_label / n))])
     sample = labels.filter("__y IN (0, 1)").filter(F.col("__r") < share[F.col("__y")]).drop("__r")
-    rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__t")).filter("__t IS NOT NULL")
+    rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__t")).filter(F.length("__t") <= max_chars)
     # the sample's size is bounded by per_label, so it is sent to the documents rather than they to it
     pulled = rows.join(F.broadcast(sample), F.col("__id2") == F.col("__id")).select("__id", "__t", "__y").toArrow()
-    order = np.argsort(pulled.column(0).to_numpy(), kind="stable")
+    order = pc.sort_indices(pulled, sort_keys=[(c, "ascending") for c in pulled.column_names]).to_pylist()
     texts, y = pulled.column(1).to_pylist(), pulled.column(2).to_pylist()
     return train([texts[i] for i in order], [y[i] for i in order])
 
@@ -336,7 +339,7 @@ class _Shared:
     """A broadcast value and an id that workers can key caches by."""
 
     def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, id(broadcast)
+        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
 
     @property
     def value(self):
@@ -360,11 +363,15 @@ def score(df: DataFrame, network: Network, text_col: str = "text", threshold: fl
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether a row's label is kept from the fit; a null id is not held out (and teaches nothing)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op5_toxicity(spark, sf_dir):
-    """The toxicity of every document, learnt from labels that are not held out."""
+    """The toxicity of every document, learnt from labels that are not held out.
+
+    One row for every document, repeated ones too; nulls, empty and long texts and empty tables as in ``score`` and ``fit``.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     network = fit(docs, labels.filter(~held_out()))
     return score(docs.select("doc_id", held_out().alias("held_out"), "text"), network).drop("text")
