@@ -23,6 +23,7 @@ from lodestone.llm.common import buckets_for, discard, materialise, mix64, table
 from lodestone.llm.wordhash import bucket_entries, gathered, join, key_buckets, scatter, text_groups, window_hashes, word_hashes
 
 LEAST = 6  # words of the shortest level, at least
+HOT_KEYS = 1024
 
 
 def levels(window: int) -> list[int]:
@@ -96,9 +97,13 @@ def _extend(rows: DataFrame, window: int, before: int | None, size: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(least[change].view(np.int64)), pa.array(ids[own[change]])], names=["key", "id"])
 
     entries = materialise(rows.mapInArrow(emit, "key long, id long"), "representatives")
-    # counted by partial aggregation; a hot key's entries are split by the engine's skew handling in the join
-    shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
-    return entries.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("known"))
+    # counted by partial aggregation; keys that hold over a HOT_KEYS-th of all entries, fewer than that, are broadcast
+    counts = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c"))
+    shared = materialise(counts.filter("a <> b").select("key", "c"), "shared")
+    often = F.col("c") * HOT_KEYS > entries.count()
+    marked = entries.join(F.broadcast(shared.filter(often).select("key", F.lit(True).alias("hot"))), "key", "left")
+    rest = marked.filter("hot IS NULL").join(shared.filter(~often), "key", "left_semi")
+    return marked.filter("hot").unionByName(rest).groupBy("id").agg(F.collect_set("key").alias("known"))
 
 
 def _survivors(rows: DataFrame, window: int) -> DataFrame:
