@@ -90,11 +90,18 @@ class Vocabulary:
         self.pair_keys = keys[order]
         self.pair_rank = order.astype(np.int64)
         self.pair_into = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        whole = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+        steps = whole["normalizers"] if whole["type"] == "Sequence" else [whole]
         kinds = [s["type"] for s in steps]
+        for s in steps:  # runs of white space made one space change nothing where white space is dropped
+            known = s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "
+            if not known:
+                raise ValueError(f"a normalizer that is not known: {s['type']}")
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         splits = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         given = [s["pattern"]["Regex"] for s in splits if s["type"] == "Split"]
+        if {s["type"] for s in splits} - {"Split", "ByteLevel"} or "Replace" in kinds and not given:
+            raise ValueError("a pre-tokenizer that is not known")
         # without a Split step a ByteLevel step splits by the pattern published with that kind of vocabulary
         self.split = regex.compile(
             given[0] if given else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
