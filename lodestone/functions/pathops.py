@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from lodestone.functions.textops import extension
 
 
+#: A path that is clean: dot-dots at its start only, no empty or dot segments.
+CLEAN = r"^(?:\.\./)*(?!\.{1,2}(?:/|$))[^/]+(?:/(?!\.{1,2}(?:/|$))[^/]+)*$"
+
+
 def clean(path: Column) -> Column:
-    """The shortest equal path: no empty or dot segments, dot-dots taken back; ``.`` if nothing is left."""
+    """The shortest equal path: no empty or dot segments, dot-dots taken back; ``.`` if nothing is left.
+
+    Most paths are clean as they are, or with one folder left again; only the others are taken apart.
+    """
+    short = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"(^|/)(?!\.\.?/)[^/]+/\.\./", "$1")
+    return F.when(path.rlike(CLEAN), path).when(short.rlike(CLEAN), short).otherwise(_clean(path))
+
+
+def _clean(path: Column) -> Column:
     rooted = path.startswith("/")
     up, none = F.lit(".."), F.array().cast("array<string>")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import pathops as P
-from lodestone.functions.textops import anchor_slug
-from lodestone.operators.graph import basename_candidates, dest_with_anchor, resolve
+from lodestone.functions.textops import anchor_slug, extension
+from lodestone.operators.graph import _no_name, dest_with_anchor, resolve_mentions, same_names
 
 DEEP = 2  # dot-dots from which a relative link is deep
 
@@ -15,11 +15,16 @@ DEEP = 2  # dot-dots from which a relative link is deep
 def analyze(links: DataFrame, files: DataFrame, headings: DataFrame, link_root: str = "") -> DataFrame:
     """Rows (category, src_rel_path, target, anchor, to, suggest, candidates, line); category is unlinked, ambiguous,
     broken (these for mentions in code) or deep (for relative links)."""
-    found = resolve(links.filter("kind IN ('code', 'md')"), files)
-    found = found.join(basename_candidates(links.filter("kind = 'code'"), files), "target", "left")
-    known = headings.select(F.col("rel_path").alias("to"), "slug").distinct().withColumn("known", F.lit(True))
+    deep_enough = (F.col("kind") == "code") | (P.climb_depth(F.col("target")) >= DEEP)
+    found = resolve_mentions(links.filter("kind IN ('code', 'md')").filter(deep_enough), files)
+    # a bare name looks up the files that share it; other targets look up nothing
+    bare, target = (F.col("kind") == "code") & ~F.col("target").contains("/"), F.lower(F.col("target"))
+    found = found.withColumns({"base": F.when(bare, P.base_no_ext(target)).otherwise(_no_name(F.col("src_rel_path"))), "ext": extension(target)})
+    found = found.join(same_names(files), ["base", "ext"], "left")
     anchor = F.coalesce("anchor", F.lit(""))
-    found = found.withColumn("slug", anchor_slug(anchor)).join(known, ["to", "slug"], "left")
+    known = headings.select(F.col("rel_path").alias("__of"), F.col("slug").alias("__slug"), F.lit(True).alias("known")).distinct()
+    aimed = F.when(F.col("to").isNotNull() & (anchor != ""), F.col("to")).otherwise(_no_name(F.col("src_rel_path")))
+    found = found.withColumns({"of": aimed, "slug": anchor_slug(anchor)}).join(known, (F.col("of") == F.col("__of")) & (F.col("slug") == F.col("__slug")), "left")
     code, fits = F.col("kind") == "code", (anchor == "") | F.coalesce("known", F.lit(False))
     cleaned = P.clean(F.concat_ws("/", F.when(P.directory(F.col("src_rel_path")) != "", P.directory(F.col("src_rel_path"))), F.col("target")))
     deep = (P.climb_depth(F.col("target")) >= DEEP) & ~cleaned.startswith("..")
@@ -57,9 +62,10 @@ def _fix_line(category: str, line: str, dest: str, href: str) -> str:
 
 
 def fixes(report: DataFrame, contents: DataFrame, link_root: str = "") -> DataFrame:
-    """Rows (rel_path, content, fixed): files that unlinked and deep findings rewrite, unlinked ones first.
+    """Rows (rel_path, content, fixed, rewrites): files that unlinked and deep findings rewrite, unlinked ones first.
 
     ``contents`` are (rel_path, content). A finding rewrites one place on its line; one whose line has changed is left.
+    ``rewrites`` are (category, old, new, count): how often each destination was rewritten, in order.
     """
     root = link_root.strip("/")
     href = F.when(F.col("category") == "deep", F.col("suggest")).otherwise(
@@ -74,14 +80,19 @@ def fixes(report: DataFrame, contents: DataFrame, link_root: str = "") -> DataFr
 
     def rewrite(batches):
         for rows in batches:
-            out = []
+            out, counts = [], []
             for content, todo in zip(rows["content"], rows["todo"], strict=True):
-                lines = content.split("\n")
+                lines, done = content.split("\n"), {}
                 for x in todo:
                     if 0 < x["line"] <= len(lines):
-                        lines[x["line"] - 1] = _fix_line(x["category"], lines[x["line"] - 1], x["dest"], x["href"])
+                        was = lines[x["line"] - 1]
+                        lines[x["line"] - 1] = _fix_line(x["category"], was, x["dest"], x["href"])
+                        key = (x["category"], x["dest"], x["href"])
+                        done[key] = done.get(key, 0) + (lines[x["line"] - 1] != was)
                 out.append("\n".join(lines))
-            rows = rows.assign(fixed=out)
-            yield rows.loc[rows.fixed != rows.content, ["rel_path", "content", "fixed"]]
+                counts.append([{"category": c, "old": d, "new": h, "count": n} for (c, d, h), n in sorted(done.items()) if n])
+            rows = rows.assign(fixed=out, rewrites=counts)
+            yield rows.loc[rows.fixed != rows.content, ["rel_path", "content", "fixed", "rewrites"]]
 
-    return contents.join(todo, "rel_path").mapInPandas(rewrite, "rel_path string, content string, fixed string")
+    shape = "rel_path string, content string, fixed string, rewrites array<struct<category: string, old: string, new: string, count: int>>"
+    return contents.join(todo, "rel_path").mapInPandas(rewrite, shape)

@@ -6,6 +6,8 @@ line items link, documents and pages are texts.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from lodestone.operators import dupes as D
 from lodestone.operators import graph as G
 from lodestone.operators import lint as L
 from lodestone.operators import search as S
+from lodestone.plans import fixtures as X
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -151,37 +154,46 @@ def vec_normalize(spark, sf_dir):
     return rows.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.normalize(F.col("embedding"))[0], 6).alias("first"))
 
 
-@query("""SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, 6) AS mean, round(embedding[1]::DOUBLE, 6) AS cls FROM embeddings""")
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: 1.5 * x::DOUBLE * i)), 6) AS mean,
+round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6) AS cls, 0.0::DOUBLE AS none FROM embeddings""")
 def vec_pool(spark, sf_dir):
-    e = lambda i: F.array(F.col("embedding")[i])
-    tokens, mask = F.array(e(0), e(1), e(2)), F.array(F.lit(1), F.lit(0), F.lit(1))
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.round(V.mean_pool(tokens, mask)[0], 6).alias("mean"), F.round(V.cls_pool(tokens)[0].cast("double"), 6).alias("cls"))
+    """Three tokens (a vector, its reverse and its double; the second is masked), pooled; sums weigh every component."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    tokens = F.array(e, F.reverse(e), F.transform(e, lambda x: 2 * x))
+    weighed = lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    mask = lambda *m: F.array(*[F.lit(x) for x in m])
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", weighed(V.mean_pool(tokens, mask(1, 0, 1))).alias("mean"), weighed(V.cls_pool(tokens)).alias("cls"), weighed(V.mean_pool(tokens, mask(0, 0, 0))).alias("none")
+    )
 
 
-@query("""SELECT doc_id, round(('0x' || substr(sha256(coalesce(text, '')), 1, 2))::INT / 255.0, 9) AS v0,
-round(('0x' || substr(sha256(coalesce(text, '')), 7, 2))::INT / 255.0, 9) AS v3 FROM documents""")
+@query("SELECT doc_id, " + ", ".join(f"round(('0x' || substr(sha256(coalesce(text, '')), {2 * i + 1}, 2))::INT / 255.0, 9) AS v{i}" for i in range(4)) + " FROM documents")
 def fake_embedding(spark, sf_dir):
     v = V.fake_embedding(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(v[0], 9).alias("v0"), F.round(v[3], 9).alias("v3"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(v[i], 9).alias(f"v{i}") for i in range(4)])
 
 
-@query("SELECT page_id, sha256(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g')) AS digest FROM pages WHERE html NOT SIMILAR TO '(.|\\n)*(\\]\\(|\\[\\[|\\n\\n\\n)(.|\\n)*' AND html NOT ILIKE '%tocstop%' AND NOT regexp_matches(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), '\\n\\n\\n')")
-def simplify_comments(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").filter(r"NOT html RLIKE r'\]\(|\[\[|\n\n\n' AND NOT html ILIKE '%tocstop%'")
-    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    return rows.filter(~bare.rlike(r"\n\n\n")).select("page_id", F.sha2(T.simplify(F.col("html")), 256).alias("digest"))
+@query("""WITH t AS (SELECT page_id, concat('<!-- TOC -->a', chr(10), '<!-- tocstop -->![i](u)[t](v "w")[[', page_id, '|l ', page_id, ']] [[z]]', chr(10), chr(10), '<!-- x -->', chr(10), chr(10), html) AS t FROM pages)
+SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+'(?is)<!--\\s*toc\\s*-->.*?<!--\\s*tocstop\\s*-->', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'),
+'\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]', '\\1', 'g'), '\\[\\[([^\\]|]+)\\]\\]', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM t""")
+def simplify(spark, sf_dir):
+    """All pages, with something for every rule before them."""
+    key = F.col("page_id").cast("string")
+    lead = F.concat(F.lit('<!-- TOC -->a\n<!-- tocstop -->![i](u)[t](v "w")[['), key, F.lit("|l "), key, F.lit("]] [[z]]\n\n<!-- x -->\n\n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.simplify(F.concat(lead, F.coalesce("html", F.lit("")))), 256).alias("digest"))
 
 
 @query("""SELECT page_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (
-SELECT page_id, rtrim(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS s FROM pages)""")
+SELECT page_id, substr(trim(regexp_replace(lower(url || ' ' || html), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS s FROM pages)""")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.slugify(F.col("url")).alias("slug"))
+    return table(spark, sf_dir, "pages").select("page_id", T.slugify(F.concat_ws(" ", "url", "html")).alias("slug"))
 
 
-@query("SELECT page_id, replace(regexp_replace(lower(trim(url)), '[^a-z0-9_ -]', '', 'g'), ' ', '-') AS slug FROM pages")
+@query("SELECT page_id, replace(regexp_replace(lower(' ' || url || ' & ' || left(html, 99) || ' '), '[^a-z0-9_ -]', '', 'g'), ' ', '-') AS slug FROM pages")
 def anchor_slug(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.anchor_slug(F.col("url")).alias("slug"))
+    text = F.concat(F.lit(" "), "url", F.lit(" & "), F.left("html", F.lit(99)), F.lit(" "))
+    return table(spark, sf_dir, "pages").select("page_id", T.anchor_slug(text).alias("slug"))
 
 
 @query("SELECT p_partkey, p_name AS leaf, p_size = 7 AS contents FROM part")
@@ -281,7 +293,7 @@ def graph_stats(spark, sf_dir):
     return G.stats(files, G.edges(links, files), headings)
 
 
-@query(f"WITH {CORPUS} SELECT DISTINCT '  \"' || src || '\" -> \"' || dest || '\";' AS line FROM edges WHERE dest IS NOT NULL")
+@query(f"WITH {CORPUS} SELECT '  \"' || src || '\" -> \"' || dest || '\";' AS line FROM edges WHERE dest IS NOT NULL")
 def graph_dot(spark, sf_dir):
     files, links, _ = corpus(spark, sf_dir)
     return G.dot(G.edges(links, files))
@@ -337,7 +349,7 @@ def lint_scope(spark, sf_dir):
 
 @query("""SELECT target, string_agg(rel_path, ',' ORDER BY rel_path) AS candidates FROM (
 SELECT p_partkey || '.go' AS target, 'a/' || p_partkey || '.go' AS rel_path FROM part WHERE p_size <= 40 UNION ALL
-SELECT p_partkey || '.go', 'b/' || p_partkey || '.go' FROM part WHERE p_size <= 10) WHERE target IN (SELECT l_partkey || '.go' FROM lineitem WHERE l_linenumber <> 1) GROUP BY 1""")
+SELECT p_partkey || '.go', 'b/' || p_partkey || '.go' FROM part WHERE p_size <= 10) WHERE target IN (SELECT l_partkey || '.go' FROM lineitem WHERE l_linenumber <> 1) GROUP BY 1 HAVING count(*) > 1""")
 def basename_candidates(spark, sf_dir):
     files, links, _ = _mentions(spark, sf_dir)
     return G.basename_candidates(links.filter("kind = 'code'"), files).select("target", F.array_join("candidates", ",").alias("candidates"))
@@ -378,22 +390,255 @@ def _notes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id"), F.lit(".md")).alias("rel_path"), body.alias("content"))
 
 
-@query()
-def chunk_markdown(spark, sf_dir):
-    from lodestone.sources.markdown import markdown_chunks
-
-    return markdown_chunks(_notes(spark, sf_dir))
+NOTES = """
+n AS (SELECT doc_id, '# Note' || chr(10) || chr(10) || '## ' || replace(coalesce(text, ''), chr(10), chr(10) || chr(10) || '## ') || chr(10) || chr(10) || 'next: [n](' || (doc_id + 1) || '.md)' AS content FROM documents)
+"""
 
 
-@query()
+@query(f"WITH {NOTES} SELECT doc_id || '.md' AS src_rel_path, (doc_id + 1) || '.md' AS target, '' AS anchor, 'md' AS kind, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS INT) AS line FROM n")
 def links_extract(spark, sf_dir):
     from lodestone.sources.markdown import markdown_links
 
     return markdown_links(_notes(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {NOTES}, l AS (SELECT doc_id, length(content) - length(replace(content, chr(10), '')) + 2 AS lines, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM n JOIN documents USING (doc_id)),
+e AS (SELECT doc_id, any_value(lines) AS lines, count(*) FILTER (NOT regexp_full_match(x, '[ \\t#]*') AND lower(trim(x)) NOT IN ('contents', 'table of contents')) AS entries FROM l GROUP BY 1)
+SELECT doc_id || '.md' AS rel_path, CAST(lines AS INT) AS lines, CAST(entries AS INT) AS entries, 'missing' AS reason FROM e WHERE lines > 20 AND entries > 0""")
 def toc_findings(spark, sf_dir):
     from lodestone.sources.markdown import toc_findings as findings
 
     return findings(_notes(spark, sf_dir), 20)
+
+
+@query(f"""WITH {NOTES}, l AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, i, count(*) OVER (PARTITION BY doc_id) AS total FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+  WHERE trim(x) <> ''),
+h AS (SELECT doc_id, regexp_replace(trim(x), '[ \\t]+#+$', '') AS t, k, i, total FROM l),
+rows AS (SELECT doc_id, 'path' AS variant, '# Note' AS heading, '# Note' AS text, 0 AS k, 1 AS line, 'note' AS slug FROM n
+  UNION ALL SELECT doc_id, 'path', '# Note > ## ' || t, '# Note > ## ' || t, k, 2 * i + 1, NULL FROM h
+  UNION ALL SELECT doc_id, 'narrow', '# Note > ## ' || t, '# Note > ## ' || t || chr(10) || chr(10) || 'next: n', k, 2 * i + 1, NULL FROM h WHERE k = total)
+SELECT rel_path, variant, heading, line, count(*) AS n, sha256(any_value(text)) AS digest FROM (SELECT doc_id || '.md' AS rel_path, variant, heading, CAST(line AS INT) AS line, text FROM rows) GROUP BY ALL""")
+def chunk_notes(spark, sf_dir):
+    """All documents as notes: the chunks of every heading, but for the sections that hold others."""
+    from lodestone.sources.markdown import markdown_chunks
+
+    rows = markdown_chunks(_notes(spark, sf_dir)).filter("variant <> 'full'")
+    return rows.groupBy("rel_path", "variant", "heading", "line").agg(F.count(F.lit(1)).alias("n"), F.first(F.sha2("text", 256)).alias("digest"))
+
+
+# Queries over the small files of ``fixtures``: what they must give is written out there by hand.
+
+
+def _values(rows: list[tuple], columns: list[str], casts: dict[str, str] | None = None) -> str:
+    """SQL for rows that are known."""
+    literal = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    shown = ", ".join(f"CAST({c} AS {(casts or {}).get(c, 'VARCHAR')}) AS {c}" for c in columns)
+    return f"SELECT {shown} FROM (VALUES {body}) AS v({', '.join(columns)})"
+
+
+def _files(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(texts.items()), "rel_path string, content string")
+
+
+CHUNK_COLUMNS = ["chunk_key", "variant", "heading", "text", "line"]
+
+
+def _chunk_query(lang: str):
+    from lodestone.sources.code import code_chunks
+
+    source, want = X.SOURCES[lang]
+    path = f"a.{T.EXTENSIONS[lang][0]}"
+
+    def run(spark, sf_dir):
+        return code_chunks(_files(spark, {path: source})).select(*CHUNK_COLUMNS)
+
+    rows = [(k, v, h, f"{h}\n\n{t}" if t else h, n) for k, v, h, t, n in want]
+    QUERIES[f"chunk_{lang}"] = run
+    ORACLE_SQL[f"chunk_{lang}"] = _values(rows, CHUNK_COLUMNS, {"line": "INT"})
+
+
+for _lang in X.SOURCES:
+    _chunk_query(_lang)
+
+
+@query(_values([*X.MARKDOWN_CHUNKS], CHUNK_COLUMNS, {"line": "INT"}))
+def chunk_markdown(spark, sf_dir):
+    from lodestone.sources.code import code_chunks
+
+    return code_chunks(_files(spark, {"a.md": X.MARKDOWN})).select(*CHUNK_COLUMNS)
+
+
+@query(_values([("n.md", *r) for r in X.LINK_ROWS], ["src_rel_path", "target", "anchor", "kind", "line"], {"line": "INT"}))
+def links_of_all_kinds(spark, sf_dir):
+    from lodestone.sources.markdown import markdown_links
+
+    return markdown_links(_files(spark, {"n.md": X.LINKS, "quiet.md": X.SILENT, "empty.md": ""}))
+
+
+@query(_values([(s, t, k, n, to) for s, t, _, k, n, to in X.GRAPH_LINKS], ["src_rel_path", "target", "kind", "line", "dest"], {"line": "INT"}))
+def resolve_all_forms(spark, sf_dir):
+    """Links of every form, wiki links and mentions in code among them, and the file each means."""
+    files, links = _graph(spark)
+    return G.resolve_mentions(links, files).select("src_rel_path", "target", "kind", "line", F.col("to").alias("dest"))
+
+
+def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    links = spark.createDataFrame([r[:5] for r in X.GRAPH_LINKS], "src_rel_path string, target string, anchor string, kind string, line int")
+    return spark.createDataFrame([(f,) for f in X.GRAPH_FILES], "rel_path string"), links
+
+
+@query(_values([(s, t, n) for s, t, _, k, n, to in X.GRAPH_LINKS if to is None and t in ("ghost.md", "%zz.md", "none", "../out.md")], ["src_rel_path", "target", "line"], {"line": "INT"}))
+def broken_all_forms(spark, sf_dir):
+    """Links that lead nowhere: not those to folders, to pictures, or to what the walk saw but did not index."""
+    files, links = _graph(spark)
+    seen = spark.createDataFrame([("LICENSE",)], "rel_path string")
+    return G.broken(G.edges(links, files), files, seen).select("src_rel_path", "target", "line")
+
+
+@query("""SELECT l_orderkey, CAST(l_linenumber AS INT) AS line, l_returnflag || CASE WHEN l_linenumber = 1 THEN '' ELSE '#' || l_linenumber END AS dest FROM lineitem""")
+def link_destinations(spark, sf_dir):
+    anchor = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("int").alias("line"), G.dest_with_anchor(F.col("l_returnflag"), anchor).alias("dest"))
+
+
+def _findings(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    from lodestone.sources.markdown import markdown_links
+
+    texts = _files(spark, X.FIX_TEXTS)
+    files = spark.createDataFrame([(f,) for f in X.FIX_FILES], "rel_path string")
+    return L.analyze(markdown_links(texts), files, spark.createDataFrame([], "rel_path string, slug string"), "repo"), texts
+
+
+@query(_values(list(X.FIXED.items()), ["rel_path", "fixed"]))
+def lint_fixes(spark, sf_dir):
+    report, texts = _findings(spark)
+    return L.fixes(report, texts, "repo").select("rel_path", "fixed")
+
+
+@query(_values([("d/e/n.md", *r) for r in X.REWRITES], ["rel_path", "category", "old", "new", "n"], {"n": "INT"}))
+def lint_rewrites(spark, sf_dir):
+    report, texts = _findings(spark)
+    return L.fixes(report, texts, "repo").select("rel_path", F.explode("rewrites").alias("r")).select("rel_path", "r.category", "r.old", "r.new", F.col("r.count").alias("n"))
+
+
+@query(_values([("ambiguous", "s.go", "x/s.go,y/s.go"), ("broken", "no.go", None), ("deep", "../../pkg/run.go", None), ("deep", "../../pkg/run.go", None), ("unlinked", "run.go", None), ("unlinked", "run.go", None)], ["category", "target", "candidates"]))
+def lint_categories(spark, sf_dir):
+    return _findings(spark)[0].select("category", "target", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(_values([(k, r) for k, (_, r, _) in X.CONTENTS.items() if r], ["rel_path", "reason"]))
+def contents_findings(spark, sf_dir):
+    from lodestone.sources.markdown import toc_findings as findings
+
+    return findings(_files(spark, {k: t for k, (t, _, _) in X.CONTENTS.items()}), 0).select("rel_path", "reason")
+
+
+@query(_values([(k, f) for k, (_, _, f) in X.CONTENTS.items() if f], ["rel_path", "fixed"]))
+def contents_fixes(spark, sf_dir):
+    from lodestone.sources.markdown import toc_fixes
+
+    return toc_fixes(_files(spark, {k: t for k, (t, _, f) in X.CONTENTS.items() if f or k != "silent.md"})).select("rel_path", "fixed")
+
+
+@query("""WITH old AS (SELECT 'p/' || p_partkey AS rel_path, p_size AS m, CAST(p_partkey % 3 AS VARCHAR) AS h, p_partkey % 11 = 0 AS bare FROM part WHERE p_partkey % 5 <> 0),
+now AS (SELECT 'p/' || p_partkey AS rel_path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS m, CASE WHEN p_partkey % 13 = 0 THEN 'x' ELSE CAST(p_partkey % 3 AS VARCHAR) END AS h FROM part WHERE p_partkey % 17 <> 0)
+SELECT rel_path, CASE WHEN now.m IS NULL THEN 'delete' WHEN old.m IS NULL THEN 'add' WHEN old.m = now.m AND NOT bare THEN 'skip' WHEN old.h = now.h AND NOT bare THEN 'touch' WHEN old.h = now.h THEN 'heal' ELSE 'update' END AS action
+FROM old FULL JOIN now USING (rel_path)""")
+def sync_actions(spark, sf_dir):
+    return _sync(spark, sf_dir)
+
+
+@query("""SELECT 'p/' || p_partkey AS rel_path, CASE WHEN p_partkey % 17 = 0 THEN 'delete' WHEN p_partkey % 5 = 0 THEN 'add' ELSE 'relink' END AS action FROM part WHERE p_partkey % 17 <> 0 OR p_partkey % 5 <> 0""")
+def sync_relink(spark, sf_dir):
+    return _sync(spark, sf_dir, relink=True)
+
+
+@query("""SELECT 'p/' || p_partkey AS rel_path, CASE WHEN p_partkey % 17 = 0 THEN 'delete' WHEN p_partkey % 5 = 0 THEN 'add' ELSE 'update' END AS action FROM part WHERE p_partkey % 17 <> 0 OR p_partkey % 5 <> 0""")
+def sync_forced(spark, sf_dir):
+    return _sync(spark, sf_dir, force=True)
+
+
+def _sync(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    from lodestone.sources.store import actions
+
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    path, text = F.concat(F.lit("p/"), key).alias("rel_path"), (key % 3).cast("string")
+    old = part.filter(key % 5 != 0).select(path, F.col("p_size").alias("mtime_ns"), F.lit(1).alias("size"), text.alias("content_hash"))
+    touched = F.when(key % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))
+    now = part.filter(key % 17 != 0).select(path, touched.alias("mtime_ns"), F.lit(1).alias("size"), F.when(key % 13 == 0, "x").otherwise(text).alias("content_hash"))
+    return actions(old, now, part.filter(key % 11 == 0).select(path), **how)
+
+
+@query("SELECT 'p/' || p_partkey AS rel_path, CAST(p_partkey % 3 AS BIGINT) AS n FROM part WHERE p_partkey % 2 = 0")
+def change_stream(spark, sf_dir):
+    """Files changed twice and some deleted again: the chunks of each file's last change."""
+    from lodestone.streaming.changes import apply_changes
+
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    path = F.concat(F.lit("p/"), key, F.lit(".md"))
+    first = part.select(path.alias("rel_path"), F.lit("# A\n\n## B\n\n## C\n\n## D\n").alias("content"), F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
+    heads = F.array_join(F.array_repeat(F.lit("## H"), (key % 3).cast("int")), "\n\n")
+    last = part.select(path.alias("rel_path"), heads.alias("content"), F.when(key % 2 == 0, "upsert").otherwise("delete").alias("op"), F.lit(2).alias("seq"))
+    none = spark.createDataFrame([], "rel_path string, chunk_key string, heading string, variant string, text string, line int")
+    counts = apply_changes(none, first.unionByName(last)).groupBy("rel_path").agg(F.count_if(F.col("variant") == "path").alias("n"))
+    paths = part.filter(key % 2 == 0).select(path.alias("rel_path"))
+    return paths.join(counts, "rel_path", "left").select(F.regexp_replace("rel_path", "[.]md$", "").alias("rel_path"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""WITH q AS (SELECT list_transform([1, 3, 5, 7], lambda i: ('0x' || substr(sha256('kettle'), i, 2))::INT / 255.0::DOUBLE) AS v),
+d AS (SELECT doc_id, list_transform([1, 3, 5, 7], lambda i: ('0x' || substr(sha256(coalesce(text, '')), i, 2))::INT / 255.0::DOUBLE) AS v FROM documents)
+SELECT doc_id || '.md' AS rel_path, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM d, q ORDER BY list_cosine_similarity(d.v, q.v) DESC, 1 LIMIT 25""")
+def search_by_text(spark, sf_dir):
+    """Documents and a query text in the stand-in's space, ranked."""
+    from lodestone.functions import models
+
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id"), F.lit(".md")).alias("rel_path"), F.lit("body").alias("chunk_key"), F.lit("").alias("heading"), F.lit("body").alias("variant"),
+        F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("line"),
+    )
+    vector = models.query_vector(spark, models.select("digest"), "", "kettle")
+    hits = S.search(V.embed(docs, V.fake_embedding), vector, 25, collapsed=False)
+    return hits.select("rel_path", F.round("score", 6).alias("score"))
+
+
+@query(_values([
+    ("all-MiniLM-L6-v2", 384, 256, "mean", 90, "all-MiniLM-L6-v2+mean+l2+d384+s256"), ("arctic-embed-xs", 384, 512, "cls", 90, "arctic-embed-xs+cls+l2+d384+s512"),
+    ("bge-small-en-v1.5", 384, 512, "cls", 127, "bge-small-en-v1.5+cls+l2+d384+s512"), ("bge-small-en-v1.5-int8", 384, 512, "cls", 33, "bge-small-en-v1.5-int8+cls+l2+d384+s512"),
+], ["name", "dim", "seq", "pooling", "mb", "space"], {"dim": "INT", "seq": "INT", "mb": "INT"}))
+def model_registry(spark, sf_dir):
+    from lodestone.functions import models
+
+    rows = [(m.name, m.dim, m.max_seq_len, m.pooling, m.approx_mb, m.space) for m in models.MODELS.values()]
+    return spark.createDataFrame(rows, "name string, dim int, seq int, pooling string, mb int, space string")
+
+
+@query(_values([("README.md", "markdown"), ("_drafts/.hidden.md", "markdown"), (".config/plan.yaml", "yaml"), ("src/main.go", "go"), ("src/kept/x.py", "python")], ["rel_path", "lang"]))
+def walk_files(spark, sf_dir):
+    """The files that a walk of the example folder finds: hidden ones too, ignored ones not."""
+    return _walked(spark)[0].select("rel_path", T.lang_of_path(F.col("rel_path")).alias("lang"))
+
+
+@query(_values([(".config",), ("LICENSE",), ("_drafts",), ("build",), ("src",), ("src/gen",), ("src/kept",)], ["rel_path"]))
+def walk_entries(spark, sf_dir):
+    return _walked(spark)[1]
+
+
+@query("SELECT 'README.md' AS rel_path, sha256('# Example' || chr(10)) AS content_hash UNION ALL SELECT 'src/main.go', sha256('package main' || chr(10)) UNION ALL SELECT 'src/kept/x.py', sha256('X = 1' || chr(10)) UNION ALL SELECT '_drafts/.hidden.md', sha256('# Hidden' || chr(10)) UNION ALL SELECT '.config/plan.yaml', sha256('a: 1' || chr(10))")
+def read_files(spark, sf_dir):
+    """What is read of the walked files: their SHA-256 on the executors, of the same bytes as their content."""
+    from lodestone.sources import walk
+
+    rows = walk.read_files(_walked(spark)[0], VAULT)
+    return rows.filter(F.col("content_hash") == F.sha2(F.col("content").cast("binary"), 256)).select("rel_path", "content_hash")
+
+
+VAULT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "vault")
+
+
+def _walked(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    from lodestone.sources import walk
+
+    return walk.listing(spark, VAULT)

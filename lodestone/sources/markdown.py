@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestone.functions.textops import SIMPLIFY
+
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
@@ -30,18 +32,11 @@ WIKI = re.compile(r"\[\[([^\[\]]+)\]\]")
 SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
 CONTENTS = re.compile(r"^#{1,6}[ \t]+(?:table of contents|contents)[ \t]*$", re.I | re.M)
 ANY_HEADING = re.compile(r"^#{1,6}[ \t]+\S", re.M)
-SIMPLIFY = [
-    (re.compile(r"<!--\s*toc\s*-->.*?<!--\s*tocstop\s*-->", re.I | re.S), ""),
-    (re.compile(r"<!--.*?-->", re.S), ""),
-    (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[\[(?:[^\]|]+\|(?=[^\]]+\]\])|(?=[^\]|]+\]\]))([^\]]+)\]\]"), r"\1"),
-    (re.compile(r"\n{3,}"), "\n\n"),
-]
+REWRITES = [(re.compile(pattern), into.replace("$", "\\")) for pattern, into in SIMPLIFY]
 
 
 def simplify(text: str) -> str:
-    for pattern, into in SIMPLIFY:
+    for pattern, into in REWRITES:
         text = pattern.sub(into, text)
     return text
 
@@ -138,7 +133,7 @@ def _scalar(v) -> str:
 
 
 def slugify(heading: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", heading.lower()).strip("-")[:60].rstrip("-") or "section"
+    return re.sub(r"[^a-z0-9]+", "-", heading.lower()).strip("-")[:60] or "section"
 
 
 def is_contents(text: str) -> bool:
@@ -247,16 +242,26 @@ def links(content: str, directive: str = "lodestone-ignore") -> list[dict]:
         if target.strip():
             out.append((m.start(), target.strip(), anchor.strip(), "wiki"))
     silent = set()
-    for m in re.finditer(rf"<!--\s*{re.escape(directive)}(-next-line|-file)?\b.*?-->", src):
-        if any(a <= m.start() < b for a, b in code):
-            continue
-        if m[1] == "-file":
+    for off, suffix in directives(src, code, directive):
+        if suffix == "-file":
             return []
-        silent.add(line_of(m.start()) + bool(m[1]))
+        silent.add(line_of(off) + bool(suffix))
     rows = [{"target": t, "anchor": a, "kind": k, "line": line_of(off)} for off, t, a, k in out]
     return [r for r in rows if r["line"] not in silent]
 
 
+def directives(src: str, code: list[tuple[int, int]], directive: str) -> list[tuple[int, str]]:
+    """Where comments outside code silence findings, and how far: empty, ``-next-line`` or ``-file``."""
+    found = re.finditer(rf"<!--\s*{re.escape(directive)}(-next-line|-file)?\b.*?-->", src)
+    return [(m.start(), m[1] or "") for m in found if not any(a <= m.start() < b for a, b in code)]
+
+
+def ignores_file(content: str, directive: str = "lodestone-ignore") -> bool:
+    """Whether a comment of a text silences it whole."""
+    src = split_frontmatter(content)[1].strip()
+    return directive in src and any(suffix == "-file" for _, suffix in directives(src, blocks(src)[1], directive))
+
+
 def strip_frontmatter(content: str) -> str:
     if not re.match(r"---\r?\n", content):
         return content
@@ -335,8 +340,11 @@ def toc_fixes(files: DataFrame) -> DataFrame:
     return _over(files, rewritten, "content string, fixed string")
 
 
-def toc_findings(files: DataFrame, threshold: int = 100) -> DataFrame:
-    """Rows (rel_path, lines, entries, reason): files over ``threshold`` lines whose contents are missing or stale."""
-    made = _over(files, lambda p, c: [toc_audit(c)], "lines int, entries int, has_block boolean, up_to_date boolean")
+def toc_findings(files: DataFrame, threshold: int = 100, directive: str = "lodestone-ignore") -> DataFrame:
+    """Rows (rel_path, lines, entries, reason): files over ``threshold`` lines whose contents are missing or stale.
+
+    A file that silences itself gives none.
+    """
+    made = _over(files, lambda p, c: [] if ignores_file(c, directive) else [toc_audit(c)], "lines int, entries int, has_block boolean, up_to_date boolean")
     wanted = made.filter(f"lines > {int(threshold)} AND entries > 0 AND NOT up_to_date")
     return wanted.selectExpr("rel_path", "lines", "entries", "CASE WHEN has_block THEN 'stale' ELSE 'missing' END AS reason").orderBy("rel_path")

@@ -87,7 +87,7 @@ def walk(root: str) -> tuple[list[tuple[str, int, int]], list[str]]:
         entries += [prefix + n for n in names if n not in SKIPPED]
         names[:] = sorted(n for n in names if n not in SKIPPED and not ignored(prefix + n, True))
         for leaf in leaves:
-            ext = os.path.splitext(leaf)[1].lower()
+            ext = leaf[leaf.rfind(".") :].lower() if "." in leaf else ""
             if not ext:
                 entries.append(prefix + leaf)
             if ext in LANGUAGE_OF and not ignored(prefix + leaf, False):
@@ -128,9 +128,12 @@ def inside(root: str, rel_path: str) -> str:
     return full
 
 
-def write_fixes(fixed: DataFrame, root: str) -> int:
-    """Write rewritten files (rel_path, content, fixed) in place, where their content is still what was read."""
-    count = 0
+def write_fixes(fixed: DataFrame, root: str) -> list[dict]:
+    """Write rewritten files (rel_path, content, fixed, ..) in place, where their content is still what was read.
+
+    What else the rows hold comes back for the files that were written, without the texts.
+    """
+    done = []
     for row in fixed.toLocalIterator():
         place = inside(root, row["rel_path"])
         with open(place, encoding="utf-8", newline="") as f:
@@ -138,5 +141,5 @@ def write_fixes(fixed: DataFrame, root: str) -> int:
                 continue
         with open(place, "w", encoding="utf-8", newline="") as f:
             f.write(row["fixed"])
-        count += 1
-    return count
+        done.append({k: v for k, v in row.asDict(recursive=True).items() if k not in ("content", "fixed")})
+    return done

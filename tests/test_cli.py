@@ -27,8 +27,8 @@ def run(spark, tmp_path):
 
 
 def test_commands(run):
-    assert run("status").endswith("(not created yet)")
-    assert run("index").startswith("indexed 4 files (+4 ~0 =0 -0)")
+    assert run("status").endswith("none yet")
+    assert run("init").startswith("indexed 4 files (+4 ~0 =0 -0)") and run("index").startswith("indexed 4 files (+0 ~0 =4 -0)")
     hits = json.loads(run("--no-sync", "search", "words", "--json"))
     assert [h["score"] for h in hits] == sorted((h["score"] for h in hits), reverse=True) and len(hits) == 4
     assert [h["path"] for h in json.loads(run("--no-sync", "search", "words", "--lang", "golang", "--json"))] == ["pkg/run.go"]
@@ -37,27 +37,42 @@ def test_commands(run):
     run("--no-sync", "search", "x", "--lang", "cobol", code=2)
     pairs = json.loads(run("--no-sync", "dupes", "--min-score", "0", "-n", "0", "--json"))
     assert pairs and all((p["a"]["path"], p["a"]["key"]) < (p["b"]["path"], p["b"]["key"]) for p in pairs)
-    assert run("--no-sync", "dupes", "--min-score", "2").startswith("no chunk pairs")
-    assert "chunks:  " in run("status") and "go" in run("langs").split() and run("version").startswith("lodestone")
+    assert run("--no-sync", "dupes", "--min-score", "2").startswith("nothing is as alike")
+    assert "chunks\t" in run("status") and "go" in run("langs").split() and run("version").startswith("lodestone")
 
 
 def test_graph_and_lint(run):
-    stats = run("graph")
-    assert "files:    4 (3 markdown)" in stats and "edges:    2 (1 resolved, 1 broken, 1 broken anchors)" in stats
+    stats = dict(x.split("\t") for x in run("graph").splitlines())
+    assert stats == {"files": "4", "markdown": "3", "edges": "2", "resolved": "1", "broken": "1", "broken anchors": "1", "orphans": "2"}
     assert run("--no-sync", "graph", "--broken") == "a.md:3\tghost.md\t(md)"
-    assert run("--no-sync", "graph", "--broken-anchors") == "a.md:3\tb.md#gone → b.md (no such section)\t(md)"
+    assert run("--no-sync", "graph", "--broken-anchors") == "a.md:3\tb.md#gone → b.md (without that section)\t(md)"
     assert run("--no-sync", "graph", "--orphans").split() == ["a.md", "c.md"]
     assert run("--no-sync", "graph", "--backlinks", "./b.md") == "a.md:3\t(md)" and '"a.md" -> "b.md"' in run("--no-sync", "graph", "--dot")
     assert len(json.loads(run("--no-sync", "graph", "--json"))["edges"]) == 2
     found = json.loads(run("--no-sync", "lint", "--json", code=1))
     assert {k: len(v) for k, v in found.items()} == {"unlinked": 1, "ambiguous": 0, "broken": 1, "deep_relative": 0, "missing_toc": 1}
-    assert run("--no-sync", "lint", "b.md") == "no lint issues flagged"
-    assert run("--no-sync", "lint", "--fix").splitlines() == ["rewrote links in 1 file(s), contents in 1 file(s)", "still needs manual attention: 1"]
+    assert run("--no-sync", "lint", "b.md") == "nothing to mend" and "a.md:3\trun.go → pkg/run.go" in run("--no-sync", "lint", code=1)
+    assert run("--no-sync", "lint", "--fix").splitlines() == [
+        "a.md\trun.go → /vault/pkg/run.go", "c.md\tcontents written", "1 link(s) in 1 file(s) and 1 list(s) of contents rewritten", "by hand: 1",
+    ]
     assert "[`run.go`](/vault/pkg/run.go)" in (run.root / "a.md").read_text() and "## Contents\n\n- D" in (run.root / "c.md").read_text()
     assert json.loads(run("lint", "--json", code=1))["missing_toc"] == []
     run("lint", "../../out.md", code=2)
 
 
+def test_commands_without_vectors_keep_those_there_are(run, spark):
+    from lodestone.sources.store import Corpus
+
+    run("index")
+    vectors = lambda: sorted((r.rel_path, r.chunk_key, r.vec) for r in Corpus(spark, str(run.root)).table("chunks").collect())
+    before = vectors()
+    assert before and all(v for _, _, v in before)
+    for command in (["lint"], ["graph"]):
+        assert cli.main(["--root", str(run.root), "--model", models.DEFAULT, *command], spark, lambda x: None) in (0, 1)
+    assert vectors() == before and Corpus(spark, str(run.root)).manifest()["stamps"]["embed_id"] == models.select("digest").space
+    run("--no-sync", "search", "words")  # the vectors are still known as what they are
+
+
 def test_models():
     assert models.select("ALL-minilm-l6-V2").pooling == "mean" and models.select().name == models.DEFAULT
     assert models.select("bge-small-en-v1.5").space == "bge-small-en-v1.5+cls+l2+d384+s512"

@@ -7,9 +7,9 @@ from lodestone.operators import dupes as D
 from lodestone.operators import graph as G
 from lodestone.operators import lint as L
 from lodestone.operators import search as S
-from lodestone.sources import code, markdown, walk
+from lodestone.sources import markdown, walk
 from lodestone.sources.store import Corpus
-from lodestone.streaming.changes import apply_changes, maintain
+from lodestone.streaming.changes import apply_changes, current, maintain
 from pyspark.sql import functions as F
 
 CHUNK = "rel_path string, chunk_key string, heading string, variant string, text string, line int, vec array<float>"
@@ -64,7 +64,8 @@ def test_paths(spark):
 
 def test_text(spark):
     assert one(spark, T.slugify(F.lit("Google Reviews: 3.2 / 5 · 198"))) == "google-reviews-3-2-5-198"
-    assert one(spark, T.anchor_slug(F.lit("Alice & Bob"))) == "alice--bob"
+    assert one(spark, T.slugify(F.lit("a" * 59 + " b"))) == "a" * 59 + "-" == markdown.slugify("a" * 59 + " b") and one(spark, T.slugify(F.lit("··"))) == "section"
+    assert one(spark, T.anchor_slug(F.lit("Alice & Bob"))) == "alice--bob" and one(spark, T.anchor_slug(F.lit(" x "))) == "-x-"
     assert one(spark, T.simplify(F.lit("[[a|b]] [[c]] ![i](x) [t](u)<!-- n -->"))) == "b c i t"
     assert T.language("C++") == "cpp" and T.language(".tsx") == "typescript"
 
@@ -83,6 +84,8 @@ def test_graph(spark):
     assert [r.target for r in G.broken(graph, files).collect()] == ["ghost.md"]
     heads = spark.createDataFrame([("a.md", "x")], "rel_path string, slug string")
     assert G.broken_anchors(graph, heads).count() == 1
+    assert [r.line for r in G.dot(graph).collect()].count('  "a.md" -> "docs/c.md";') == 2  # repeated edges stay
+    assert one(spark, G.quoted(F.lit('a"b\\c'))) == '"a\\"b\\\\c"'
     assert G.stats(files, graph, heads).first().asDict() == {"files": 5, "markdown": 5, "edges": 8, "resolved": 5, "broken": 1, "broken_anchors": 1, "orphans": 1}
 
 
@@ -107,28 +110,6 @@ def test_markdown():
     assert markdown.chunk_markdown("") == [] and markdown.links("") == []
 
 
-@pytest.mark.parametrize(
-    "language, source, keys",
-    [
-        ("go", "package p\n// R.\nfunc (s *S) Run() {\n}\ntype S struct{}\n", {"go/method/S.Run", "go/type/S"}),
-        ("python", "class A:\n    def f(self):\n        pass\n", {"py/class/A", "py/method/A.f"}),
-        ("rust", "impl S {\n  pub fn new() -> S { S{} }\n}\n", {"rs/func/S.new"}),
-        ("typescript", "export class A {\n  run(x: number): void { }\n}\n", {"ts/class/A", "ts/method/A.run"}),
-        ("javascript", "exports.b = () => {}\n", {"js/func/b"}),
-        ("ruby", "module M\n  def run\n  end\nend\n", {"rb/module/M", "rb/method/M.run"}),
-        ("protobuf", "package a;\nmessage M {\n}\n", {"proto/message/a.M"}),
-        ("yaml", "kind: D\nmetadata:\n  name: w\n", {"yaml/document/D/w", "yaml/section/D/w.metadata"}),
-        ("bash", "# d\nrun() {\n}\n", {"sh/func/run"}),
-        ("java", "class A {\n int run() { return 1; }\n}\n", {"java/class/A", "java/method/A.run"}),
-    ],
-)
-def test_code(language, source, keys):
-    assert keys <= {c["chunk_key"] for c in code.chunk_code(source, language)}
-    assert code.chunk_code(" \n", language) == []
-    for garbage in ("}}}{{{ ((", "\x00\x01'\"`", source[:-3]):
-        code.chunk_code(garbage, language)
-
-
 def test_ignore_rules():
     rules = walk.IgnoreRules("build/\n*.tmp\n!keep.tmp\n/top\na/**/z\n")
     assert rules.ignores("x/build", True) and not rules.ignores("build", False) and rules.ignores("build/q", False)
@@ -151,6 +132,33 @@ def test_corpus_sync(spark, tmp_path):
         walk.inside(str(tmp_path), "../out.md")
 
 
+def test_corpus_keeps_vectors_and_redoes_links_alone(spark, tmp_path, monkeypatch):
+    from lodestone.sources import store
+
+    for name, text in (("a.md", "# A\n\n[b](b.md)\n"), ("b.md", "# B\n")):
+        (tmp_path / name).write_text(text)
+    corpus = Corpus(spark, str(tmp_path))
+    corpus.sync()
+    seen = lambda: sorted((r.rel_path, r.chunk_key, tuple(r.vec)) for r in corpus.table("chunks").collect())
+    before = seen()
+    other = Corpus(spark, str(tmp_path), embed_id="other+d4")
+    assert other.stale() == ["embed_id"] and not other.stale(embed=False) and "embedding model" in other.reason()
+    assert other.sync(embed=False)["unchanged"] == 2 and seen() == before and corpus.manifest()["stamps"]["embed_id"] == "fake+d4"
+    (tmp_path / "a.md").write_text("# A\n\n[b](b.md)\n\n## New\n\nwords\n")
+    assert other.sync(embed=False)["updated"] == 1  # what stayed keeps its vector, the rest has none yet
+    assert {k: len(v) for _, k, v in seen()}["body/0/a/path"] == 4 and {k: len(v) for _, k, v in seen()}["body/1/new/path"] == 0
+    assert corpus.sync()["updated"] == 1 and all(len(v) == 4 for _, _, v in seen())
+    monkeypatch.setitem(store.STAMPS, "link_version", 99)
+    before, segments = seen(), corpus.table("files").select("chunk_seg").distinct().count()
+    done = corpus.sync()
+    assert (done["relinked"], done["updated"]) == (2, 0) and "link extraction" in done["reason"] and seen() == before
+    assert corpus.table("links").count() == 1 and corpus.table("files").select("chunk_seg").distinct().count() == segments
+    monkeypatch.setattr(store, "COMPACT", 2)
+    assert corpus.sync()["unchanged"] == 2 and len(corpus.manifest()["segments"]) == 1 and seen() == before
+    monkeypatch.setitem(store.STAMPS, "chunk_version", 99)
+    assert corpus.sync(embed=False)["updated"] == 2 and seen() == before  # even rebuilt, equal texts keep their vectors
+
+
 def test_change_stream(spark, tmp_path):
     schema = "rel_path string, content string, op string, seq long"
     changes = spark.createDataFrame([("a.md", "# A\n", "upsert", 1), ("a.md", "# A2\n", "upsert", 2), ("b.md", "# B\n", "upsert", 1), ("b.md", None, "delete", 2)], schema)
@@ -158,4 +166,8 @@ def test_change_stream(spark, tmp_path):
     assert [r.text for r in chunks.collect()] == ["# A2"]
     changes.write.parquet(str(tmp_path / "in"))
     maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/version=0")).count() == 1
+    assert [r.text for r in current(spark, str(tmp_path / "out")).collect()] == ["# A2"]
+    later = spark.createDataFrame([("a.md", None, "delete", 3), ("c.md", "# C\n", "upsert", 1)], schema)
+    later.write.mode("append").parquet(str(tmp_path / "in"))
+    maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r.text for r in current(spark, str(tmp_path / "out")).collect()] == ["# C"]
