@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +80,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written to the shared folder; what it wrote on its way there is removed."""
+    path = shared_dir(spark, what)
+    with tracked(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def text_or_empty(name: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
