@@ -11,30 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, jaccard_join, packing, substring_dedup, toxicity
-from lodestone.llm.common import materialise, table
+from lodestone.llm.common import discard, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the labels, does not reject."""
+    """Documents that the toxicity model, learnt from the labels, does not reject; a null text counts as empty, repeats stay."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.filter("predicted = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id; of rows that repeat it, all. A null id stays if no other has its text."""
     return exact_dedup.exact_dedup(docs).filter("kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard of 0.75 or more) the document with the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard of 0.75 or more) the document with the smallest id.
+
+    Documents without words or with a null id, and rows that repeat the smallest id, stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that a document of smaller id has.
 
-    Texts that lose nothing stay as they are; a document that loses every word goes.
+    Texts that lose nothing stay as they are, null ones too; a document that loses every word goes.
     """
     cut = substring_dedup.substring_dedup(docs, 50)
     cut = cut.filter("n_removed = 0 OR n_removed < n_words")
@@ -44,7 +47,10 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's token pieces and their places in sequences of at most 4096 tokens."""
+    """Every kept document's token pieces and their places in sequences of at most 4096 tokens.
+
+    A null or empty text is its end token; repeated rows are packed each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -61,8 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder."""
+    """All stages over the documents of a data folder.
+
+    Every stage's result is a table in the shared folder; what a stage wrote on its way, and the table it read, are
+    removed once its own is there, so that only the last remains. Nulls, repeated rows and empty tables pass as the
+    stages' operators define: a null text is an empty one, rows with a null id are compared with no others but equal texts.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        made = staged(spark, name.replace(" ", "-"), lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if k:
+            discard(docs)
+        docs = made
+    return docs
