@@ -110,8 +110,8 @@ class Corpus:
         valid = self.table("files").select(F.col("rel_path").alias(key), F.col(at).alias("seg"))
         return self._read(name, schema, found["segments"]).join(valid, [key, "seg"], "left_semi").drop("seg")
 
-    def sync(self, force: bool = False, embed: bool = True) -> dict:
-        """Bring the index up to date; counts of what was done.
+    def sync(self, force: bool = False, embed: bool = True, progress: Callable[[str], None] = lambda text: None) -> dict:
+        """Bring the index up to date; counts of what was done. ``progress`` hears what comes next.
 
         Without ``embed`` no vector is made and none is lost: chunks whose text stays keep theirs, others get none yet,
         and a later sync with an embedder heals their files. If only the extraction of links changed, links alone are
@@ -124,6 +124,7 @@ class Corpus:
         found = self.manifest()
         n, spark = (found["snapshot"] or 0) + 1, self.spark
         here, segment = os.path.join(self.store, f"snap={n}"), os.path.join(self.store, f"seg={n}")
+        progress(f"listing {self.root}")
         now, entries = walk.listing(spark, self.root)
         old, chunks = self.table("files"), self.table("chunks")
         bare = chunks.filter(F.size("vec") == 0).select("rel_path").distinct() if embed else chunks.limit(0).select("rel_path")
@@ -132,12 +133,14 @@ class Corpus:
             first = first.filter((F.col("action") == "add") | is_markdown(F.col("rel_path")))
         first = first.select("rel_path")
         todo = first.unionByName(bare.join(now, "rel_path", "left_semi")).distinct()
+        progress("reading what changed")
         walk.read_files(todo, self.root).write.mode("overwrite").parquet(os.path.join(here, "read"))
         read = spark.read.parquet(os.path.join(here, "read"))
         now = now.join(read.select("rel_path", "content_hash"), "rel_path", "left")
         actions(old, now, bare, force, relink).write.mode("overwrite").parquet(os.path.join(here, "plan"))
         plan = spark.read.parquet(os.path.join(here, "plan"))
         counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+        progress(", ".join(f"{n} to {k}" for k, n in sorted(counts.items()) if k != "skip") or "nothing to do")
         made, linked = F.col("action").isin("add", "update", "heal"), F.col("action").isin("add", "update", "heal", "relink")
         changed = read.join(plan.filter(made).select("rel_path"), "rel_path", "left_semi")
         fresh = code.code_chunks(changed)

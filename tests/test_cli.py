@@ -84,3 +84,55 @@ def test_models():
     assert np.allclose(models.pool(states, mask, "cls"), [0.6, 0.8])
     assert np.allclose(models.pool(states, mask, "mean"), np.array([2.0, 2.0]) / 8**0.5)
     assert not models.pool(np.zeros((1, 2)), np.array([1]), "cls").any()
+
+
+def test_fetching(tmp_path, monkeypatch):
+    import tarfile
+    import zipfile
+
+    from lodestone.functions import fetch
+
+    model = models.select("arctic-embed-xs")
+    repo, weights = fetch.PUBLISHED[model.name]
+    (tmp_path / "hub" / repo / "resolve/main/onnx").mkdir(parents=True)
+    (tmp_path / "hub" / repo / "resolve/main/onnx" / weights).write_bytes(b"w" * 3_000_000)
+    (tmp_path / "hub" / repo / "resolve/main/tokenizer.json").write_text("{}")
+    hub, heard = (tmp_path / "hub").as_uri() + "/", []
+    monkeypatch.setenv("LODESTONE_NO_DOWNLOAD", "1")
+    with pytest.raises(ValueError):
+        fetch.ensure(model, str(tmp_path / "models"), hub=hub)
+    monkeypatch.delenv("LODESTONE_NO_DOWNLOAD")
+    assert fetch.ensure(model, str(tmp_path / "models"), lambda *x: heard.append(x), hub) == ["model.onnx", "tokenizer.json"]
+    assert model.installed(str(tmp_path / "models")) and ("model.onnx", 3_000_000, 3_000_000) in heard and fetch.ensure(model, str(tmp_path / "models"), hub=hub) == []
+    with pytest.raises(OSError):
+        fetch.fetch(hub + "none", str(tmp_path / "x" / "none"))
+    (tmp_path / "libthing.so.1").write_bytes(b"code")
+    with tarfile.open(tmp_path / "a.tgz", "w:gz") as t:
+        t.add(tmp_path / "hub", "pkg/libthing.so")  # a folder of that name
+        t.add(tmp_path / "libthing.so.1", "pkg/lib/libthing.so.1")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.write(tmp_path / "libthing.so.1", "pkg/libthing.so.1")
+    for archive in ("a.tgz", "a.zip"):
+        out = tmp_path / archive[:3] / "lib.so"
+        fetch.extract(str(tmp_path / archive), lambda n: n.startswith("libthing"), str(out))
+        assert out.read_bytes() == b"code"
+        with pytest.raises(ValueError):
+            fetch.extract(str(tmp_path / archive), lambda n: n == "other", str(out))
+        with pytest.raises(ValueError):
+            fetch.extract(str(tmp_path / archive), lambda n: n.startswith("libthing"), str(tmp_path / "much"), limit=3)
+    assert not (tmp_path / "much").exists() and not list(tmp_path.glob(".part-*"))
+
+
+def test_status_line():
+    import io
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    for stream, want in ((Terminal(), "\rlong text\rshort    \r     \r"), (io.StringIO(), "")):
+        status = cli.Status(stream)
+        status.show("long text")
+        status.show("short")
+        status.clear()
+        assert stream.getvalue() == want
