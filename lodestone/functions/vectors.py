@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n))).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def pack(v: Column) -> Column:
+    """A vector as bytes: little-endian 32-bit floats end to end, as stores of other engines keep them."""
+
+    @F.pandas_udf("binary")
+    def packed(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return packed(v)
+
+
+def unpack(raw: Column) -> Column:
+    """The vector of bytes that ``pack`` made; bytes left over behind the last component are no part of it."""
+
+    @F.pandas_udf("array<float>")
+    def unpacked(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4))
+
+    return unpacked(raw)
+
+
 def mean_pool(vectors: Column, mask: Column) -> Column:
     """The mean of the token vectors under a 0/1 mask; zeros where the mask is empty."""
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] > 0), lambda x: x["v"])

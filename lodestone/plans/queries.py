@@ -642,3 +642,26 @@ def _walked(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     from lodestone.sources import walk
 
     return walk.listing(spark, VAULT)
+
+
+@query("""SELECT to_json({'path': 'orders/' || l_orderkey || '.md', 'line': CAST(l_linenumber AS INT), 'kind': l_returnflag}) AS line FROM lineitem""")
+def json_rows(spark, sf_dir):
+    """Rows as lines of JSON, as the commands write them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("orders/"), "l_orderkey", F.lit(".md")).alias("path"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_returnflag").alias("kind"))
+    return rows.select(F.to_json(F.struct("path", "line", "kind")).alias("line"))
+
+
+@query("SELECT 'Label_' || label || ['.md', '.go', '.py', '.yaml'][CAST(label % 4 + 1 AS INT)] AS rel_path, count(*) AS n FROM embeddings WHERE vec_id % 5 = 0 GROUP BY 1")
+def placeholders(spark, sf_dir):
+    """Files with chunks that have no vector yet, and how many."""
+    bare = chunks(spark, sf_dir).withColumn("vec", F.when(F.col("chunk_key").cast("long") % 5 == 0, F.array().cast("array<double>")).otherwise(F.col("vec").cast("array<double>")))
+    return bare.filter(F.size("vec") == 0).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def vector_codec(spark, sf_dir):
+    """Vectors packed into bytes and back, component by component."""
+    packed = V.pack(F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.unpack(packed).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("dim"), F.round(total, 6).alias("total"))

@@ -25,6 +25,7 @@ NAMES = {"chunk_version": "chunker", "link_version": "link extraction", "embed_i
 FILES = "rel_path string, mtime_ns long, size long, content_hash string, indexed_at_ns long, chunk_seg int, link_seg int"
 CHUNKS = "rel_path string, chunk_key string, heading string, variant string, text string, line int, vec array<double>, seg int"
 LINKS = "src_rel_path string, target string, anchor string, kind string, line int, seg int"
+LAYOUT = 2  # of the files below a store; a store of an older one is brought up to it when it is opened
 COMPACT = 8  # segments beyond which what is still valid is gathered in one
 
 
@@ -74,6 +75,26 @@ class Corpus:
     def __init__(self, spark: SparkSession, root: str, store: str | None = None, embedder: Callable[[Column], Column] | None = fake_embedding, embed_id: str = "fake+d4"):
         self.spark, self.root, self.embedder, self.embed_id = spark, os.path.abspath(root), embedder, embed_id
         self.store = store or os.path.join(self.root, ".lodestone")
+        self._migrate()
+
+    def _migrate(self) -> None:
+        """Bring a store of the first layout, whose snapshots hold every table whole, up to this one; newer ones are refused."""
+        found = self.manifest()
+        layout = found.get("layout", 1 if "segments" not in found else LAYOUT)
+        if layout > LAYOUT:
+            raise ValueError(f"{self.store} has layout {layout}; this code knows {LAYOUT}")
+        if layout == 1:
+            n = found["snapshot"]
+            here, segment = os.path.join(self.store, f"snap={n}"), os.path.join(self.store, f"seg={n}")
+            for name, key in (("chunks", CHUNKS), ("links", LINKS)):
+                whole = self.spark.read.schema(key.rpartition(", ")[0]).parquet(os.path.join(here, name, "*.parquet"))
+                whole.withColumn("seg", F.lit(n)).write.mode("overwrite").parquet(os.path.join(segment, name))
+            files = self.spark.read.schema(FILES.split(", chunk_seg")[0]).parquet(os.path.join(here, "files", "*.parquet"))
+            moved, there = files.withColumns({"chunk_seg": F.lit(n), "link_seg": F.lit(n)}), os.path.join(self.store, f"snap={n + 1}")
+            moved.write.mode("overwrite").parquet(os.path.join(there, "files"))
+            self.spark.read.schema("rel_path string").parquet(os.path.join(here, "entries", "*.parquet")).write.mode("overwrite").parquet(os.path.join(there, "entries"))
+            self._publish({"snapshot": n + 1, "segments": [n], "stamps": found["stamps"], "files": moved.count()})
+            shutil.rmtree(here, ignore_errors=True)
 
     def manifest(self) -> dict:
         try:
@@ -194,5 +215,5 @@ class Corpus:
 
     def _publish(self, manifest: dict) -> None:
         with open(os.path.join(self.store, "manifest.tmp"), "w", encoding="utf-8") as f:
-            json.dump(manifest, f)
+            json.dump({**manifest, "layout": LAYOUT}, f)
         os.replace(os.path.join(self.store, "manifest.tmp"), os.path.join(self.store, "manifest.json"))

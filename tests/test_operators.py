@@ -159,6 +159,28 @@ def test_corpus_keeps_vectors_and_redoes_links_alone(spark, tmp_path, monkeypatc
     assert corpus.sync(embed=False)["updated"] == 2 and seen() == before  # even rebuilt, equal texts keep their vectors
 
 
+def test_corpus_of_the_first_layout(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.md").write_text("# A\n\n[b](b.md)\n")
+    corpus = Corpus(spark, str(tmp_path))
+    corpus.sync()
+    old, chunks = tmp_path / "old", corpus.table("chunks")
+    before = sorted(map(str, chunks.collect()))
+    chunks.write.parquet(str(old / "snap=3/chunks"))
+    corpus.table("links").write.parquet(str(old / "snap=3/links"))
+    corpus.table("files").drop("chunk_seg", "link_seg").write.parquet(str(old / "snap=3/files"))
+    corpus.table("entries").write.parquet(str(old / "snap=3/entries"))
+    stamps = corpus.manifest()["stamps"]
+    (old / "manifest.json").write_text(json.dumps({"snapshot": 3, "stamps": stamps}))
+    moved = Corpus(spark, str(tmp_path), str(old))
+    assert sorted(map(str, moved.table("chunks").collect())) == before and moved.table("links").count() == 1 and moved.manifest()["layout"] == 2
+    assert moved.sync()["unchanged"] == 1
+    (old / "manifest.json").write_text(json.dumps({**moved.manifest(), "layout": 3}))
+    with pytest.raises(ValueError):
+        Corpus(spark, str(tmp_path), str(old))
+
+
 def test_change_stream(spark, tmp_path):
     schema = "rel_path string, content string, op string, seq long"
     changes = spark.createDataFrame([("a.md", "# A\n", "upsert", 1), ("a.md", "# A2\n", "upsert", 2), ("b.md", "# B\n", "upsert", 1), ("b.md", None, "delete", 2)], schema)
