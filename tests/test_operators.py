@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lodestone.functions import pathops as P
@@ -54,6 +55,24 @@ def test_dupes_blocked_and_in_one_block(spark):
     assert sorted(ends(small)) == sorted(ends(D.dupes(df, within_file=True)))
 
 
+def test_dupes_visit_only_what_they_can_reach(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 8)) * 3
+    x = np.concatenate([c + rng.normal(size=(30, 8)) * 0.4 for c in centres])
+    rows = [(f"f{i % 50}.md", f"{i:03}", v.tolist()) for i, v in enumerate(x)] + [("z.md", "zero", [0.0] * 8), ("z.md", "none", []), ("y.md", "short", [1.0, 2.0]), ("y.md", "twin", [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "rel_path string, chunk_key string, vec array<double>")
+    for least in (0.95, 0.6, 0.0, -0.5):
+        want = set()
+        for i, (p, k, v) in enumerate(rows):
+            for q, l, w in rows[:i]:
+                size = np.linalg.norm(v) * np.linalg.norm(w)
+                score = float(np.dot(v, w) / size) if len(v) == len(w) and size > 0 else 0.0
+                if score >= least and abs(score - least) > 1e-9 or score == least == 0.0:
+                    want.add(tuple(sorted([(p, k), (q, l)])))
+        got = [((r.a_path, r.a_key), (r.b_path, r.b_key)) for r in D.pairs_over(df, least, True, block=16).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_paths(spark):
     for path, want in (("a/./b//../c", "a/c"), ("../../x", "../../x"), ("", "."), ("/..//a/", "/a"), ("a/..", ".")):
         assert one(spark, P.clean(F.lit(path))) == want
