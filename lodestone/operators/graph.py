@@ -28,7 +28,9 @@ def _names(files: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("\x00"), P.base_no_ext(lower)).alias("name"), F.lit(0).alias("rank")),
     )
     named = files.select(path, F.explode(ways).alias("way")).filter("way.name IS NOT NULL")
-    return named.groupBy(F.col("way.name").alias("name")).agg(F.min(F.struct("way.rank", "rel_path")).alias("best")).select("name", F.col("best.rel_path").alias("to"))
+    best = named.groupBy(F.col("way.name").alias("name")).agg(F.min(F.struct("way.rank", "rel_path")).alias("best")).select("name", F.col("best.rel_path").alias("to"))
+    # with a row that nothing names, the table is dealt out anew for a join, and only such a join splits hot names
+    return best.unionByName(files.sparkSession.range(1).select(F.lit("\x02").alias("name"), F.lit(None).cast("string").alias("to")))
 
 
 def _wiki_name(target: Column) -> Column:
