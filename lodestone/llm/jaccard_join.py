@@ -34,7 +34,8 @@ from lodestone.llm.wordhash import bucket_entries, gathered, key_buckets, scatte
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 21
 STARS = 2  # passes in which the best connected rows meet the others
 HOT_SHARE, HOT_LEAST, HOT_COLUMNS = 10_000, 1024, 1 << 17  # hot: in a 10,000th of all rows, and 1024; at most so many columns
-EVERYWHERE = 1 << 30  # the frequency given to a hot column
+EVERYWHERE = (1 << 16) - 1  # the frequency given to a hot column; others count one less at most
+HOT_GROUPS, SALTS = 1024, 256  # groups that hold over such a part of all rows are dealt out by so many salts
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +163,9 @@ def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: in
     common = {r[0]: r[1] for r in classes.filter(F.col("c") > least).select("node", "least").collect()}
     shared = spark.sparkContext.broadcast((hot, common))
 
+    def direct(made: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pc.subtract(-1, made.column(0)), made.column(1)], names=["bucket", "blob"])
+
     def emit(batches):
         hot, common = shared.value
         for batch in batches:
@@ -175,15 +179,18 @@ def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: in
                     for i, (own, key) in enumerate(zip(group.column(0).to_pylist(), keys.tolist(), strict=True)):
                         if key in common:
                             speaks[i] = common[key] == own
-                docs, mine = np.column_stack([keys, sizes]), speaks[of]
+                mine, owners = speaks[of], key_buckets(keys.view(np.uint64), buckets)
+                # a set's size goes straight to its row, as a column of no frequency
+                said = np.flatnonzero(speaks & (sizes > 0))
+                if len(said):
+                    yield direct(scatter(sizes[said].astype(np.uint64), said, keys, owners[said], np.zeros(len(said), np.uint16)))
                 everywhere = np.isin(h, hot) & mine
                 mine &= ~everywhere
                 if mine.any():
-                    yield scatter(h[mine], of[mine], docs, key_buckets(h[mine], buckets))
+                    yield scatter(h[mine], of[mine], keys, key_buckets(h[mine], buckets))
                 if everywhere.any():
                     x, y = h[everywhere], of[everywhere]
-                    made = scatter(x, y, docs, key_buckets(keys.view(np.uint64), buckets)[y], np.full(len(x), EVERYWHERE))
-                    yield pa.RecordBatch.from_arrays([pc.subtract(-1, made.column(0)), made.column(1)], names=["bucket", "blob"])
+                    yield direct(scatter(x, y, keys, owners[y], np.full(len(x), EVERYWHERE, np.uint16)))
 
     def meet(batches):
         for (bucket,), blobs in gathered(batches):
@@ -192,8 +199,8 @@ def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: in
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
                 continue
             docs, h, slots = bucket_entries([b for (b,) in blobs])
-            nodes, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
-            table, row = docs[first], of_doc[slots]
+            nodes, of_doc = np.unique(docs, return_inverse=True)
+            row = of_doc[slots]
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
             new = np.ones(len(h), bool)
@@ -206,21 +213,24 @@ def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: in
             order = np.argsort(row[keep], kind="stable")
             h, row, df = h[keep][order], row[keep][order], df[keep][order]
             if len(h):
-                yield scatter(h, row, table, key_buckets(nodes.view(np.uint64), buckets)[row], np.minimum(df, EVERYWHERE - 1))
+                yield scatter(h, row, nodes, key_buckets(nodes.view(np.uint64), buckets)[row], np.minimum(df, EVERYWHERE - 1).astype(np.uint16))
 
     def bound(batches):
         for _, blobs in gathered(batches):
             docs, h, slots, df = bucket_entries([b for (b,) in blobs])
-            _, first, of_doc = np.unique(docs[:, 0], return_index=True, return_inverse=True)
-            table, row = docs[first], of_doc[slots]
+            nodes, of_doc = np.unique(docs, return_inverse=True)
+            row, n_columns = of_doc[slots], np.zeros(len(nodes), np.int64)
+            n_columns[row[df == 0]] = h[df == 0].astype(np.int64)
+            row, h, df = row[df > 0], h[df > 0], df[df > 0]
+            table = np.column_stack([nodes, n_columns])
             order = np.lexsort((h, df, row))  # rarest columns first
             h, row, df = h[order], row[order], df[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             h, row, df = h[new], row[new], df[new]
             shared = np.bincount(row, minlength=len(table))
-            fits = 100 * shared >= percent * table[:, 1]  # a row must reach the least overlap of its size
-            weight = np.bincount(row, np.minimum(df, 1 << 20), minlength=len(table)).astype(np.int64) // table[:, 1]
+            fits = (shared > 0) & (100 * shared >= percent * table[:, 1])  # a row must reach the least overlap of its size
+            weight = np.bincount(row, df, minlength=len(table)).astype(np.int64) // table[:, 1]
             h = h[fits[row]]
             table, shared, weight = table[fits], shared[fits], weight[fits]
             ends = np.cumsum(shared)
@@ -238,12 +248,35 @@ def matrix_rows(rows: DataFrame, described: DataFrame, classes: DataFrame, n: in
     return by_node.mapInArrow(bound, "node long, n long, k long, w long, h binary, rare array<long>")
 
 
+class Salt:
+    """Deals the rows of groups out, so that no task gets a hot group whole.
+
+    ``rows`` get a salt by their node where their group (``key``) is hot; tables with a row for each group are repeated
+    for every salt of a hot group, of which there are fewer than ``HOT_GROUPS``.
+    """
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.key, counts = key, rows.groupBy(key).agg(F.count(F.lit(1)).alias("__c"))
+        self.hot = [r[0] for r in counts.filter(F.col("__c") * HOT_GROUPS > rows.count()).select(key).collect()]
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("salt", F.when(F.col(self.key).isin(self.hot), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
+
+    def groups(self, df: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        return df.withColumn("salt", F.explode(F.when(F.col(self.key).isin(self.hot), every).otherwise(F.array(F.lit(0).cast("long")))))
+
+    def join(self, df: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+        return self.rows(df).join(self.groups(groups), [self.key, "salt"], how).drop("salt")
+
+
 def ties_of(left: DataFrame) -> DataFrame:
     """(g, node, n, k, w): the rows of each tie that more than one row has; of ties with the same rows, one."""
-    ties = left.select(F.explode("rare").alias("g"), "node", "n", "k", "w")
+    ties = materialise(left.select(F.explode("rare").alias("g"), "node", "n", "k", "w"), "all-ties")
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
     groups = ties.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("m"), *same).filter("c > 1")
-    return ties.join(groups.groupBy("c", "m", "s0", "s1").agg(F.min("g").alias("g")).select("g"), "g")
+    alone = materialise(groups.groupBy("c", "m", "s0", "s1").agg(F.min("g").alias("g")).select("g"), "groups")
+    return Salt(ties, "g").join(ties, alone)
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -260,11 +293,11 @@ def fitting(n: str, k: str, m: str, j: str, percent: int) -> Column:
     return sizes & F.expr(f"{100 - percent} * least({k}, {j}) >= {percent} * ({n} - {k} + {m} - {j})")
 
 
-def star_links(members: DataFrame, left: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def star_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) -> tuple[DataFrame, DataFrame]:
     """Links of each tie's best connected row with the other rows of the tie, and those rows as (g, u)."""
     best = members.groupBy("g").agg(F.max(F.struct("w", "node", "n", "k", "comp")).alias("b"))
     best = best.select("g", F.col("b.node").alias("u"), F.col("b.n").alias("un"), F.col("b.k").alias("uk"), F.col("b.comp").alias("uc"))
-    pairs = members.join(best, "g").filter(F.col("comp") != F.col("uc")).filter(fitting("n", "k", "un", "uk", percent))
+    pairs = salt.join(members, best).filter(F.col("comp") != F.col("uc")).filter(fitting("n", "k", "un", "uk", percent))
     pairs = materialise(pairs.select("u", "node").distinct(), "stars")
     blocks = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("long").alias("blocks"))
     rows = left.select("node", "n", "h")
@@ -298,22 +331,24 @@ def star_links(members: DataFrame, left: DataFrame, percent: int) -> tuple[DataF
 CELL = ["big", "sc", "heavy"]
 
 
-def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Salt]:
     """Rows (t, node, comp, big, sc, heavy) of groups ``t`` with their cells, and the pairs of cells to be multiplied.
 
     A group of at most a block is one cell. A larger one is cut by component (of those that fill a block), by size
     class, and by whether a row's own columns leave it room for such another row; cells are cut into ``blocks``. Pairs
     of cells hold ``copies``: how many rows they send out.
     """
-    whole = members.groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    whole = whole.filter("c1 <> c2").withColumn("large", (F.col("rows") > BLOCK_ROWS) | (F.col("entries") > BLOCK_ENTRIES)).select("t2", "large")
-    of_comp = members.groupBy(F.col("t").alias("t3"), F.col("comp").alias("comp3")).agg(F.count(F.lit(1)).alias("of_comp")).filter(F.col("of_comp") >= BLOCK_ROWS)
+    salt = Salt(members, "t")
+    whole = members.groupBy("t").agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    whole = whole.filter("c1 <> c2").withColumn("large", (F.col("rows") > BLOCK_ROWS) | (F.col("entries") > BLOCK_ENTRIES)).select("t", "large")
+    of_comp = members.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("of_comp")).filter(F.col("of_comp") >= BLOCK_ROWS)
+    of_comp = salt.groups(of_comp).select(F.col("t").alias("t3"), F.col("comp").alias("comp3"), F.col("salt").alias("salt3"), "of_comp")
     size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001)) if percent < 100 else F.col("n")
     heavy = F.expr(f"{2 * percent} * (n - k) > {100 - percent} * k")
     none = F.lit(0).cast("long")
     rows = (
-        members.join(whole, F.col("t") == F.col("t2"))
-        .join(of_comp, F.col("large") & (F.col("t") == F.col("t3")) & (F.col("comp") == F.col("comp3")), "left")
+        salt.rows(salt.join(members, whole))
+        .join(of_comp, F.col("large") & (F.col("t") == F.col("t3")) & (F.col("comp") == F.col("comp3")) & (F.col("salt") == F.col("salt3")), "left")
         .select(
             "t", "node", "comp", "k",
             F.when(F.col("of_comp").isNotNull(), F.col("comp")).alias("big"),
@@ -321,42 +356,47 @@ def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             (F.col("large") & heavy).alias("heavy"),
         )
     )
+    rows = materialise(rows, "cells")
     cells = rows.groupBy("t", *CELL).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"))
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("entries") / BLOCK_ENTRIES)).cast("long")
     cells = cells.select("t", F.struct(*CELL).alias("cell"), "rows", blocks.alias("blocks"))
-    other = cells.select(F.col("t").alias("t2"), F.col("cell").alias("to"), F.col("blocks").alias("to_blocks"), F.col("rows").alias("to_rows"))
+    other = cells.select(F.col("t").alias("t2"), F.col("cell").alias("to"), F.col("blocks").alias("to_blocks"))
     a, b = F.col("cell"), F.col("to")
     wanted = (F.abs(a["sc"] - b["sc"]) <= 1) & ~(a["heavy"] & b["heavy"])
     wanted &= a["big"].isNull() | b["big"].isNull() | (a["big"] != b["big"])
     pairs = cells.join(other, (F.col("t") == F.col("t2")) & wanted).filter(~a.eqNullSafe(b) | (F.col("rows") > 1))
-    return rows.drop("k"), pairs.select("t", "cell", "blocks", "to", "to_blocks", (F.col("rows") * F.col("to_blocks")).alias("copies"))
+    pairs = pairs.select("t", "cell", "blocks", "to", "to_blocks", (F.col("rows") * F.col("to_blocks")).alias("copies"))
+    return rows.drop("k"), materialise(pairs, "cells"), salt
 
 
-def block_links(members: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) -> DataFrame:
     """Links (u, v) among the rows of ties (g, node, n, k, comp) that lie in different components so far."""
-    live = members.groupBy(F.col("g").alias("g2")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("g2")
-    members = materialise(members.join(live, F.col("g") == F.col("g2"), "left_semi").select("g", "node", "n", "k", "comp"), "ties")
-    first = members.groupBy(F.col("g").alias("g2")).agg(F.min("node").alias("u"))
-    clusters = components(members.join(first, F.col("g") == F.col("g2")).filter("u <> node").select("u", F.col("node").alias("v")).distinct())
-    named = members.join(clusters, "node").withColumnRenamed("component", "cluster")
-    by_tie, tie_pairs = (materialise(x, "cells") for x in cut_blocks(named.withColumn("t", F.struct(F.lit(0).alias("way"), F.col("g").alias("of"))), percent))
-    whole = named.select("cluster", "node", "n", "k", "comp").distinct().withColumn("t", F.struct(F.lit(1).alias("way"), F.col("cluster").alias("of")))
-    by_cluster, cluster_pairs = (materialise(x, "cells") for x in cut_blocks(whole, percent))
+    live = members.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("g")
+    members = materialise(salt.join(members, live, "left_semi").select("g", "node", "n", "k", "comp"), "ties")
+    first = members.groupBy("g").agg(F.min("node").alias("u"))
+    clusters = components(salt.join(members, first).filter("u <> node").select("u", F.col("node").alias("v")).distinct())
+    named = materialise(members.join(clusters, "node").withColumnRenamed("component", "cluster"), "ties")
+    key = lambda way, of: F.xxhash64(F.lit(way), of).alias("t")
+    by_tie, tie_pairs, tie_salt = cut_blocks(named.select(key("tie", "g"), "node", "n", "k", "comp"), percent)
+    whole = materialise(named.select(key("cluster", "cluster"), "node", "n", "k", "comp").distinct(), "clusters")
+    by_cluster, cluster_pairs, cluster_salt = cut_blocks(whole, percent)
     # whichever way copies rows less often, cluster by cluster
-    of_tie = named.select(F.col("g").alias("tie"), F.col("cluster").alias("c")).distinct()
-    cost = tie_pairs.join(of_tie, F.col("t.of") == F.col("tie")).groupBy("c").agg(F.sum("copies").alias("by_tie"))
-    other = cluster_pairs.groupBy(F.col("t.of").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
-    ways = cost.join(other, F.col("c") == F.col("c2")).select("c", (F.col("by_tie") < F.col("by_cluster")).alias("ties"))
-    take = of_tie.join(ways, "c").filter("ties").select(F.struct(F.lit(0).alias("way"), F.col("tie").alias("of")).alias("t"))
-    take = take.unionByName(ways.filter("NOT ties").select(F.struct(F.lit(1).alias("way"), F.col("c").alias("of")).alias("t")))
-    rows = by_tie.unionByName(by_cluster).withColumn("cell", F.struct(*CELL)).drop(*CELL)
-    pairs = tie_pairs.unionByName(cluster_pairs).join(take, "t", "left_semi").select(F.col("t").alias("t2"), F.col("cell").alias("from"), "blocks", "to", "to_blocks")
+    of_tie = materialise(named.select(key("tie", "g"), key("cluster", "cluster").alias("c")).distinct(), "ways")
+    cost = tie_pairs.join(of_tie, "t").groupBy("c").agg(F.sum("copies").alias("by_tie"))
+    other = cluster_pairs.groupBy(F.col("t").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
+    ways = materialise(cost.join(other, F.col("c") == F.col("c2")).select("c", (F.col("by_tie") < F.col("by_cluster")).alias("ties")), "ways")
+
+    def chosen(rows: DataFrame, pairs: DataFrame, take: DataFrame, dealt: Salt) -> DataFrame:
+        pairs = pairs.join(take, "t", "left_semi").withColumnRenamed("cell", "from").drop("copies")
+        return dealt.join(rows.withColumn("cell", F.struct(*CELL)).drop(*CELL), pairs).filter(F.col("cell").eqNullSafe(F.col("from")))
+
+    met = chosen(by_tie, tie_pairs, of_tie.join(ways.filter("ties"), "c").select("t"), tie_salt)
+    met = met.unionByName(chosen(by_cluster, cluster_pairs, ways.filter("NOT ties").select(F.col("c").alias("t")), cluster_salt))
     own, x, alike = F.col("own"), F.col("x"), F.col("cell").eqNullSafe(F.col("to"))
     ahead = F.hash("cell", F.lit(1)) < F.hash("to", F.lit(1))
     ahead = F.when(F.hash("cell", F.lit(1)) == F.hash("to", F.lit(1)), F.to_json("cell") < F.to_json("to")).otherwise(ahead)
     placed = (
-        rows.join(pairs, (F.col("t") == F.col("t2")) & F.col("cell").eqNullSafe(F.col("from")))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1)))
         .withColumn("a", F.when(alike, F.least(own, x)).when(ahead, own).otherwise(x))
         .withColumn("b", F.when(alike, F.greatest(own, x)).when(ahead, x).otherwise(own))
@@ -396,17 +436,18 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
     )
     left = materialise(matrix_rows(rows, described, classes, n, percent), "rows")
     ties = materialise(ties_of(left), "ties")
+    salt = Salt(ties, "g")
     links, labels, open_ties = None, None, ties
     for _ in range(STARS):
         open_ties = labelled(open_ties.drop("comp"), labels)
-        found, best = star_links(open_ties, left, percent)
+        found, best = star_links(open_ties, left, percent, salt)
         found = materialise(found, "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        done = labelled(best.withColumnRenamed("u", "node"), labels).select(F.col("g").alias("g2"), F.col("comp").alias("done"))
+        done = labelled(best.withColumnRenamed("u", "node"), labels).select("g", F.col("comp").alias("done"))
         here = labelled(open_ties.drop("comp"), labels)
-        open_ties = materialise(here.join(done, F.col("g") == F.col("g2")).filter("comp <> done").drop("g2", "done"), "ties")
-    links = links.unionByName(materialise(block_links(labelled(ties, labels), left, percent), "links"))
+        open_ties = materialise(salt.join(here, done).filter("comp <> done").drop("done"), "ties")
+    links = links.unionByName(materialise(block_links(labelled(ties, labels), left, percent, salt), "links"))
     # a class speaks by its smallest id, so the smallest of a component is its smallest id
     named = classes.select("node", "least")
     ends = links.join(named.select(F.col("node").alias("u"), F.col("least").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("least").alias("b")), "v")

@@ -126,14 +126,14 @@ def to_documents(ids: np.ndarray, values: np.ndarray, buckets: int):
         order = np.argsort(ids, kind="stable")
         docs, slots = np.unique(ids[order], return_inverse=True)
         bucket = mix64(docs.view(np.uint64)) % np.uint64(buckets)
-        yield scatter(values[order], slots, docs[:, None], bucket[slots])
+        yield scatter(values[order], slots, docs, bucket[slots])
 
 
 def settle(batches):
     """One row (id, known) for each document, with all its values."""
     for _, blobs in gathered(batches):
         docs, values, slots = bucket_entries([b for (b,) in blobs])
-        ids = docs[slots, 0]
+        ids = docs[slots]
         order = np.argsort(ids, kind="stable")
         ids, values = ids[order], values[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
@@ -166,7 +166,7 @@ def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 for rows in to_documents(ids[own[drop]], places[drop].astype(np.uint64), buckets):
                     yield pa.RecordBatch.from_arrays([pc.subtract(-1, rows.column(0)), rows.column(1)], names=["bucket", "blob"])
                 one, two, own, places = one[~drop], two[~drop], own[~drop], places[~drop]
-                yield scatter(one, own, ids[:, None], key_buckets(one, buckets), two, places)
+                yield scatter(one, own, ids, key_buckets(one, buckets), two, places)
 
     def meet(batches):
         for (bucket,), blobs in gathered(batches):
@@ -175,7 +175,7 @@ def _repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
                 continue
             docs, keys, slots, extra, places = bucket_entries([b for (b,) in blobs])
-            ids = docs[slots, 0]
+            ids = docs[slots]
             drop = above_least(ids, keys, extra)
             yield from to_documents(ids[drop], places[drop].astype(np.uint64), buckets)
 

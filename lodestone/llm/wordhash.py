@@ -93,41 +93,49 @@ def key_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def scatter(keys: np.ndarray, slots: np.ndarray, docs: np.ndarray, bucket: np.ndarray, *extra: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, blob) of entries: a key (48 bits are kept), a row of ``docs`` (an int64 matrix) by its number in
-    ``slots``, and unsigned 32-bit extras. Entries must come in order of slots. A blob holds each document once."""
+    """Rows (bucket, blob) of entries: a key (48 bits are kept), one of ``docs`` (int64) by its number in ``slots``, and
+    unsigned extras of 16 or 32 bits. Entries must come in order of slots. A blob holds each document once."""
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    bucket, keys, slots, extra = bucket[order], keys[order], slots[order], [x[order].astype("<u4") for x in extra]
+    extra = [x.astype("<u2" if x.dtype == np.uint16 else "<u4") for x in extra]
+    bucket, keys, slots, extra = bucket[order], keys[order], slots[order], [x[order] for x in extra]
     low, high = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u2")
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
     fresh = np.ones(len(slots), bool)
     fresh[1:] = (slots[1:] != slots[:-1]) | (bucket[1:] != bucket[:-1])
     heads = np.flatnonzero(fresh)
-    lengths = np.diff(np.append(heads, len(slots))).astype("<u4")
-    tables, where = docs[slots[heads]].astype("<i8"), np.searchsorted(heads, starts)
+    lengths = np.diff(np.append(heads, len(slots)))
+    names, where = docs[slots[heads]].astype("<i8"), np.searchsorted(heads, starts)
     where = np.append(where, len(heads))
+    lengths = lengths.astype("<u1" if lengths.max(initial=0) < 256 else "<u4")
+    shape = struct.pack("<BB", lengths.itemsize, len(extra)) + bytes(x.itemsize for x in extra)
     blobs = []
     for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
         x, y = where[k], where[k + 1]
-        head = struct.pack("<iiii", y - x, docs.shape[1], b - a, len(extra))
-        blobs.append(b"".join([head, tables[x:y].tobytes(), lengths[x:y].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), *(e[a:b].tobytes() for e in extra)]))
+        head = struct.pack("<ii", y - x, b - a) + shape
+        blobs.append(b"".join([head, names[x:y].tobytes(), lengths[x:y].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), *(e[a:b].tobytes() for e in extra)]))
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def bucket_entries(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of one bucket: documents, keys (lower 48 bits), each entry's row of documents, and extras."""
-    tables, lengths, keys, extras = [], [], [], []
+    """Of one bucket: documents, keys (lower 48 bits), each entry's document by number, and extras."""
+    names, lengths, keys, extras = [], [], [], []
     for blob in blobs:
-        n_docs, width, n, more = struct.unpack_from("<iiii", blob)
-        tables.append(np.frombuffer(blob, "<i8", n_docs * width, 16).reshape(n_docs, width))
-        at = 16 + 8 * n_docs * width
-        lengths.append(np.frombuffer(blob, "<u4", n_docs, at))
-        at += 4 * n_docs
+        n_docs, n, wide, more = struct.unpack_from("<iiBB", blob)
+        sizes, at = blob[10 : 10 + more], 10 + more
+        names.append(np.frombuffer(blob, "<i8", n_docs, at))
+        at += 8 * n_docs
+        lengths.append(np.frombuffer(blob, f"<u{wide}", n_docs, at).astype(np.int64))
+        at += wide * n_docs
         keys.append(np.frombuffer(blob, "<u4", n, at).astype(np.uint64) | np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
         at += 6 * n
-        extras.append([np.frombuffer(blob, "<u4", n, at + 4 * n * k) for k in range(more)])
+        own = []
+        for size in sizes:
+            own.append(np.frombuffer(blob, f"<u{size}", n, at).astype(np.uint32))
+            at += size * n
+        extras.append(own)
     lengths = np.concatenate(lengths)
-    return np.concatenate(tables), np.concatenate(keys), np.repeat(np.arange(len(lengths)), lengths), *(np.concatenate(x) for x in zip(*extras, strict=True))
+    return np.concatenate(names), np.concatenate(keys), np.repeat(np.arange(len(lengths)), lengths), *(np.concatenate(x) for x in zip(*extras, strict=True))
 
 
 def gathered(batches, key_columns: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
