@@ -7,6 +7,7 @@ DataFrame forms at the end run it over (rel_path, content) rows.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ REWRITES = [(re.compile(pattern), into.replace("$", "\\")) for pattern, into in
 
 
 def simplify(text: str) -> str:
+    if "<!--" not in text and "](" not in text and "[[" not in text and "\n\n\n" not in text:
+        return text  # no rule can match
     for pattern, into in REWRITES:
         text = pattern.sub(into, text)
     return text
@@ -156,6 +159,12 @@ def chunk_markdown(content: str) -> list[dict]:
     found, _ = blocks(src)
     if not found:
         out.append({"chunk_key": "body", "heading": "", "variant": "body", "text": simplify(src).strip(), "line": lead})
+    breaks = [m.start() for m in re.finditer("\n", src)]
+    # where the subtree of each heading ends: at the nearest heading behind it of its level or above
+    ends, nearest = [len(src)] * len(found), [len(src)] * 7
+    for i in range(len(found) - 1, -1, -1):
+        ends[i] = min(nearest[: found[i].level + 1])
+        nearest[found[i].level] = found[i].start
     stack: list[tuple[int, str]] = []
     for i, h in enumerate(found):
         name = simplify(h.text).strip()
@@ -163,10 +172,9 @@ def chunk_markdown(content: str) -> list[dict]:
         if is_contents(name):
             continue
         near = found[i + 1].start if i + 1 < len(found) else len(src)
-        far = next((n.start for n in found[i + 1 :] if n.level <= h.level), len(src))
         path = " > ".join(f"{'#' * k} {t}" for k, t in stack)
-        narrow, full = (simplify(src[h.content : end]).strip() for end in (near, far))
-        line = lead + src[: h.start].count("\n")
+        narrow, full = (simplify(src[h.content : end]).strip() for end in (near, ends[i]))
+        line = lead + bisect.bisect_left(breaks, h.start)
         texts = [("path", path)] + [("narrow", f"{path}\n\n{narrow}")] * bool(narrow) + [("full", f"{path}\n\n{full}")] * bool(full and full != narrow)
         out += [{"chunk_key": f"body/{i}/{slugify(name)}/{v}", "heading": path, "variant": v, "text": t, "line": line} for v, t in texts]
     return out
