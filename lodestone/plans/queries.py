@@ -7,8 +7,10 @@ line items link, documents and pages are texts.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import pathops as P
@@ -665,3 +667,49 @@ def vector_codec(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.unpack(packed).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rows.select("vec_id", F.size("v").cast("long").alias("dim"), F.round(total, 6).alias("total"))
+
+
+VAULT_CHUNKS = [
+    (".config/plan.yaml", "yaml/doc/doc0", "document"), ("README.md", "body/0/example/path", "path"), ("_drafts/.hidden.md", "body/0/hidden/path", "path"),
+]
+
+
+def _indexed(spark: SparkSession):
+    """The example folder, indexed once in a fresh store below the folder that the cluster shares."""
+    from lodestone.sources.store import Corpus
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")).removeprefix("file://").removeprefix("file:")
+    corpus = Corpus(spark, VAULT, os.path.join(base, f"corpus-{uuid.uuid4().hex}"))
+    corpus.sync()
+    return corpus
+
+
+@query(_values([(*r, 4) for r in VAULT_CHUNKS], ["rel_path", "chunk_key", "variant", "dim"], {"dim": "INT"}))
+def corpus_chunks(spark, sf_dir):
+    """The chunks of the example folder as its index has them, each with a vector."""
+    return _indexed(spark).table("chunks").select("rel_path", "chunk_key", "variant", F.size("vec").alias("dim"))
+
+
+@query("SELECT rel_path, content_hash, CAST(length(content) AS BIGINT) AS size FROM (SELECT rel_path, content, sha256(content) AS content_hash FROM (VALUES ('README.md', '# Example' || chr(10)), ('src/main.go', 'package main' || chr(10)), ('src/kept/x.py', 'X = 1' || chr(10)), ('_drafts/.hidden.md', '# Hidden' || chr(10)), ('.config/plan.yaml', 'a: 1' || chr(10))) AS v(rel_path, content))")
+def corpus_files(spark, sf_dir):
+    """The files of the example folder as its index has them."""
+    return _indexed(spark).table("files").select("rel_path", "content_hash", "size")
+
+
+@query("SELECT 'unchanged' AS action, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'added', 0 UNION ALL SELECT 'updated', 0 UNION ALL SELECT 'relinked', 0 UNION ALL SELECT 'deleted', 0")
+def corpus_sync_again(spark, sf_dir):
+    """What a second sync of an unchanged folder does: nothing."""
+    done = _indexed(spark).sync()
+    return spark.createDataFrame([(k, done[k]) for k in ("unchanged", "added", "updated", "relinked", "deleted")], "action string, n long")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) || '.md' AS rel_path, CAST(row_number() OVER (ORDER BY CAST(l_orderkey AS VARCHAR) || '.md', l_linenumber) AS BIGINT) AS place, CAST(l_linenumber AS INT) AS line FROM lineitem""")
+def links_ordered(spark, sf_dir):
+    """All links by file and line, numbered in that order."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".md")).alias("rel_path"), F.col("l_linenumber").cast("int").alias("line"))
+    ordered = rows.orderBy("rel_path", "line").withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
+    # a sort deals rows to partitions in order, so a number within one and the sizes of those before make a place
+    counts = ordered.groupBy("part").count()
+    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each partition
+    within = F.col("id") - F.shiftleft(F.col("part").cast("long"), 33) + 1
+    return ordered.join(F.broadcast(before), "part").select("rel_path", (F.col("before") + within).alias("place"), "line")
