@@ -13,8 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round gives each node the least label among its neighbours and itself, then the label of that label; the
     number of rounds is about logarithmic in the longest path. Each round's labels are written to the shared
-    folder. Self-loops make single nodes; no edges make no rows.
+    folder. Self-loops make single nodes, repeated edges count once, an edge with a null end is none; no edges make no
+    rows.
     """
+    edges = edges.filter("u IS NOT NULL AND v IS NOT NULL")
     both = materialise(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialise(
         both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")), "labels"

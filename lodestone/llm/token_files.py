@@ -46,7 +46,10 @@ def dac_encode(ids: np.ndarray) -> bytes:
 
 
 class DacReader:
-    """Random access to the ids in a buffer made by ``dac_encode``."""
+    """Random access to the ids in a buffer made by ``dac_encode``: ``reader[i]``, ``reader.slice(a, b)`` and ``len``.
+
+    An empty buffer has no ids; a place outside of it is an IndexError, a slice is cut to what there is.
+    """
 
     def __init__(self, raw: bytes | memoryview, at: int = 0):
         (levels,), at = struct.unpack_from("<q", raw, at), at + 8
@@ -88,6 +91,9 @@ class DacReader:
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """The ids from a up to b."""
+        a, b = max(a, 0), min(b, len(self))
+        if a >= b:
+            return np.empty(0, np.uint32)
         out, where, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
         for level in self.levels:
             out[where] |= level[2][a:b].astype(np.uint32) << np.uint32(shift)
