@@ -55,6 +55,12 @@ class Model:
 MODELS = {name.lower(): Model(name, *rest) for name, *rest in CHECKPOINTS}
 
 
+def cache_dir() -> str:
+    """Where checkpoints lie unless told otherwise: $LODESTONE_MODELS, or a folder of the user's cache."""
+    home = os.environ.get("XDG_CACHE_HOME", "").strip() or os.path.join(os.path.expanduser("~"), ".cache")
+    return os.environ.get("LODESTONE_MODELS", "").strip() or os.path.join(home, "lodestone", "models")
+
+
 def select(name: str = "") -> Model:
     """The checkpoint of a name in any case; without one, that of $LODESTONE_MODEL or the default."""
     wanted = name.strip() or os.environ.get("LODESTONE_MODEL", "").strip() or DEFAULT

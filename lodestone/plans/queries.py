@@ -419,13 +419,14 @@ def toc_findings(spark, sf_dir):
 h AS (SELECT doc_id, regexp_replace(trim(x), '[ \\t]+#+$', '') AS t, k, i, total FROM l),
 rows AS (SELECT doc_id, 'path' AS variant, '# Note' AS heading, '# Note' AS text, 0 AS k, 1 AS line, 'note' AS slug FROM n
   UNION ALL SELECT doc_id, 'path', '# Note > ## ' || t, '# Note > ## ' || t, k, 2 * i + 1, NULL FROM h
-  UNION ALL SELECT doc_id, 'narrow', '# Note > ## ' || t, '# Note > ## ' || t || chr(10) || chr(10) || 'next: n', k, 2 * i + 1, NULL FROM h WHERE k = total)
+  UNION ALL SELECT doc_id, 'narrow', '# Note > ## ' || t, '# Note > ## ' || t || chr(10) || chr(10) || 'next: n', k, 2 * i + 1, NULL FROM h WHERE k = total
+  UNION ALL SELECT doc_id, 'full', '# Note', '# Note' || chr(10) || chr(10) || trim(regexp_replace(substr(content, 9), '\\[n\\]\\([0-9]+\\.md\\)$', 'n')), 0, 1, NULL FROM n)
 SELECT rel_path, variant, heading, line, count(*) AS n, sha256(any_value(text)) AS digest FROM (SELECT doc_id || '.md' AS rel_path, variant, heading, CAST(line AS INT) AS line, text FROM rows) GROUP BY ALL""")
-def chunk_notes(spark, sf_dir):
-    """All documents as notes: the chunks of every heading, but for the sections that hold others."""
+def chunk_markdown(spark, sf_dir):
+    """All documents as notes: the chunks of every heading."""
     from lodestone.sources.markdown import markdown_chunks
 
-    rows = markdown_chunks(_notes(spark, sf_dir)).filter("variant <> 'full'")
+    rows = markdown_chunks(_notes(spark, sf_dir))
     return rows.groupBy("rel_path", "variant", "heading", "line").agg(F.count(F.lit(1)).alias("n"), F.first(F.sha2("text", 256)).alias("digest"))
 
 
@@ -466,7 +467,8 @@ for _lang in X.SOURCES:
 
 
 @query(_values([*X.MARKDOWN_CHUNKS], CHUNK_COLUMNS, {"line": "INT"}))
-def chunk_markdown(spark, sf_dir):
+def chunk_markdown_forms(spark, sf_dir):
+    """A document with all that a chunker of markdown must tell apart."""
     from lodestone.sources.code import code_chunks
 
     return code_chunks(_files(spark, {"a.md": X.MARKDOWN})).select(*CHUNK_COLUMNS)

@@ -73,7 +73,12 @@ def test_commands_without_vectors_keep_those_there_are(run, spark):
     run("--no-sync", "search", "words")  # the vectors are still known as what they are
 
 
-def test_models():
+def test_models(monkeypatch):
+    monkeypatch.delenv("LODESTONE_MODELS", raising=False)
+    monkeypatch.setenv("XDG_CACHE_HOME", "/c")
+    assert models.cache_dir() == "/c/lodestone/models"
+    monkeypatch.setenv("LODESTONE_MODELS", "/m")
+    assert models.cache_dir() == "/m"
     assert models.select("ALL-minilm-l6-V2").pooling == "mean" and models.select().name == models.DEFAULT
     assert models.select("bge-small-en-v1.5").space == "bge-small-en-v1.5+cls+l2+d384+s512"
     with pytest.raises(ValueError):
