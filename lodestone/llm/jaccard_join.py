@@ -329,14 +329,15 @@ def star_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) ->
 
 
 CELL = ["big", "sc", "heavy"]
+CELLS = 1024  # a cluster of more cells is multiplied tie by tie, so that pairs of cells stay few
 
 
-def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Salt]:
+def cut_blocks(members: DataFrame, percent: int, most: int | None = None) -> tuple[DataFrame, DataFrame, Salt]:
     """Rows (t, node, comp, big, sc, heavy) of groups ``t`` with their cells, and the pairs of cells to be multiplied.
 
     A group of at most a block is one cell. A larger one is cut by component (of those that fill a block), by size
     class, and by whether a row's own columns leave it room for such another row; cells are cut into ``blocks``. Pairs
-    of cells hold ``copies``: how many rows they send out.
+    of cells hold ``copies``: how many rows they send out. Groups of over ``most`` cells get no pairs.
     """
     salt = Salt(members, "t")
     whole = members.groupBy("t").agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
@@ -360,6 +361,8 @@ def cut_blocks(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame,
     cells = rows.groupBy("t", *CELL).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("entries"))
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("entries") / BLOCK_ENTRIES)).cast("long")
     cells = cells.select("t", F.struct(*CELL).alias("cell"), "rows", blocks.alias("blocks"))
+    if most:
+        cells = cells.join(cells.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("t"), "t", "left_semi")
     other = cells.select(F.col("t").alias("t2"), F.col("cell").alias("to"), F.col("blocks").alias("to_blocks"))
     a, b = F.col("cell"), F.col("to")
     wanted = (F.abs(a["sc"] - b["sc"]) <= 1) & ~(a["heavy"] & b["heavy"])
@@ -379,12 +382,13 @@ def block_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) -
     key = lambda way, of: F.xxhash64(F.lit(way), of).alias("t")
     by_tie, tie_pairs, tie_salt = cut_blocks(named.select(key("tie", "g"), "node", "n", "k", "comp"), percent)
     whole = materialise(named.select(key("cluster", "cluster"), "node", "n", "k", "comp").distinct(), "clusters")
-    by_cluster, cluster_pairs, cluster_salt = cut_blocks(whole, percent)
+    by_cluster, cluster_pairs, cluster_salt = cut_blocks(whole, percent, CELLS)
     # whichever way copies rows less often, cluster by cluster
     of_tie = materialise(named.select(key("tie", "g"), key("cluster", "cluster").alias("c")).distinct(), "ways")
     cost = tie_pairs.join(of_tie, "t").groupBy("c").agg(F.sum("copies").alias("by_tie"))
     other = cluster_pairs.groupBy(F.col("t").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
-    ways = materialise(cost.join(other, F.col("c") == F.col("c2")).select("c", (F.col("by_tie") < F.col("by_cluster")).alias("ties")), "ways")
+    cheaper = F.coalesce(F.col("by_tie") < F.col("by_cluster"), F.lit(True))
+    ways = materialise(cost.join(other, F.col("c") == F.col("c2"), "left").select("c", cheaper.alias("ties")), "ways")
 
     def chosen(rows: DataFrame, pairs: DataFrame, take: DataFrame, dealt: Salt) -> DataFrame:
         pairs = pairs.join(take, "t", "left_semi").withColumnRenamed("cell", "from").drop("copies")
