@@ -40,12 +40,20 @@ def _clean(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """All before the last slash; empty if there is none."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    rest = F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1
+    return F.left(path, F.greatest(rest, F.lit(0)))
 
 
 def base_no_ext(path: Column) -> Column:
     """The last segment without its extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"\.[^.]*$", "")
+    base = F.substring_index(F.when(path.endswith("/"), F.regexp_replace(path, "/+$", "")).otherwise(path), "/", -1)
+    return F.when(base.contains("."), F.left(base, F.length(base) - F.length(F.substring_index(base, ".", -1)) - 1)).otherwise(base)
+
+
+def plain(path: Column) -> Column:
+    """Whether a relative path has no segments to take out; false for some that have none either."""
+    odd = path.contains("./") | path.contains("//") | path.startswith("/") | path.endswith("/") | path.endswith("/.") | path.endswith("/..")
+    return ~odd & ~path.isin("", ".", "..")
 
 
 def percent_decode(path: Column) -> Column:
@@ -55,10 +63,18 @@ def percent_decode(path: Column) -> Column:
 
 
 def candidate(source: Column, target: Column) -> Column:
-    """Where a relative or rooted link target points, from the linking file."""
-    to = percent_decode(target)
-    return F.when(to.startswith("/"), clean(F.regexp_replace(to, "^/", ""))).otherwise(
-        clean(F.concat_ws("/", F.when(directory(source) != "", directory(source)), to))
+    """Where a relative or rooted link target points, from the linking file.
+
+    Plain targets, and those that leave one folder first, are put together at once; only the others are cleaned.
+    """
+    to, here = percent_decode(target), directory(source)
+    rest, above = F.substr(to, F.lit(4)), directory(here)
+    beside = lambda folder, path: F.when(folder == "", path).otherwise(F.concat(folder, F.lit("/"), path))
+    return (
+        F.when(to.startswith("/"), clean(F.regexp_replace(to, "^/", "")))
+        .when(plain(to), beside(here, to))
+        .when(to.startswith("../") & plain(rest) & (here != ""), beside(above, rest))
+        .otherwise(clean(beside(here, to)))
     )
 
 

@@ -66,7 +66,8 @@ def language(name: str) -> str:
 
 def extension(path: Column) -> Column:
     """The extension of a path with its dot, as written; empty if there is none."""
-    return F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    base = F.substring_index(path, "/", -1)
+    return F.when(base.contains("."), F.concat(F.lit("."), F.substring_index(base, ".", -1))).otherwise(F.lit(""))
 
 
 def lang_of_path(path: Column) -> Column:
@@ -75,7 +76,8 @@ def lang_of_path(path: Column) -> Column:
 
 
 def is_markdown(path: Column) -> Column:
-    return F.lower(extension(path)).isin(".md", ".markdown")
+    lower = F.lower(path)
+    return lower.endswith(".md") | lower.endswith(".markdown")
 
 
 def trim_space(text: Column) -> Column:
@@ -98,7 +100,7 @@ def slugify(heading: Column) -> Column:
 
 def anchor_slug(heading: Column) -> Column:
     """The fragment that a link to a heading uses: every space is a dash, those at the ends too."""
-    return F.translate(F.regexp_replace(F.lower(heading), "[^a-z0-9_ -]", ""), " ", "-")
+    return F.when(heading == "", heading).otherwise(F.translate(F.regexp_replace(F.lower(heading), "[^a-z0-9_ -]", ""), " ", "-"))
 
 
 def heading_leaf(breadcrumb: Column) -> Column:
