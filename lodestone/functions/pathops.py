@@ -62,20 +62,22 @@ def percent_decode(path: Column) -> Column:
     return F.when(path.contains("%"), F.coalesce(decoded, path)).otherwise(path)
 
 
-def candidate(source: Column, target: Column) -> Column:
-    """Where a relative or rooted link target points, from the linking file.
+def joined(source: Column, to: Column) -> Column:
+    """A relative path as seen from a file, clean.
 
-    Plain targets, and those that leave one folder first, are put together at once; only the others are cleaned.
+    Plain paths, and those that leave one folder first, are put together at once; only the others are cleaned.
     """
-    to, here = percent_decode(target), directory(source)
+    here = directory(source)
     rest, above = F.substr(to, F.lit(4)), directory(here)
     beside = lambda folder, path: F.when(folder == "", path).otherwise(F.concat(folder, F.lit("/"), path))
-    return (
-        F.when(to.startswith("/"), clean(F.regexp_replace(to, "^/", "")))
-        .when(plain(to), beside(here, to))
-        .when(to.startswith("../") & plain(rest) & (here != ""), beside(above, rest))
-        .otherwise(clean(beside(here, to)))
-    )
+    one_up = to.startswith("../") & plain(rest) & (here != "")
+    return F.when(plain(to), beside(here, to)).when(one_up, beside(above, rest)).otherwise(clean(beside(here, to)))
+
+
+def candidate(source: Column, target: Column) -> Column:
+    """Where a relative or rooted link target points, from the linking file."""
+    to = percent_decode(target)
+    return F.when(to.startswith("/"), clean(F.regexp_replace(to, "^/", ""))).otherwise(joined(source, to))
 
 
 def ext_candidates(path: Column) -> Column:
@@ -87,7 +89,7 @@ def ext_candidates(path: Column) -> Column:
 
 def climb_depth(target: Column) -> Column:
     """How many directories a relative target climbs."""
-    return F.when(target.isNull() | (target == "") | target.startswith("/"), F.lit(0)).otherwise(
+    return F.when(target.isNull() | ~target.contains("..") | target.startswith("/"), F.lit(0)).otherwise(
         F.length(F.regexp_extract(F.concat(clean(target), F.lit("/")), r"^((?:\.\./)*)", 1)).cast("int") / 3
     ).cast("int")
 

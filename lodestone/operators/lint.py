@@ -26,7 +26,7 @@ def analyze(links: DataFrame, files: DataFrame, headings: DataFrame, link_root:
     aimed = F.when(F.col("to").isNotNull() & (anchor != ""), F.col("to")).otherwise(_no_name(F.col("src_rel_path")))
     found = found.withColumns({"of": aimed, "slug": anchor_slug(anchor)}).join(known, (F.col("of") == F.col("__of")) & (F.col("slug") == F.col("__slug")), "left")
     code, fits = F.col("kind") == "code", (anchor == "") | F.coalesce("known", F.lit(False))
-    cleaned = P.clean(F.concat_ws("/", F.when(P.directory(F.col("src_rel_path")) != "", P.directory(F.col("src_rel_path"))), F.col("target")))
+    cleaned = P.joined(F.col("src_rel_path"), F.col("target"))
     deep = (P.climb_depth(F.col("target")) >= DEEP) & ~cleaned.startswith("..")
     rooted = F.concat(F.lit("/" + (link_root.strip("/") + "/" if link_root.strip("/") else "")), cleaned)
     category = (
