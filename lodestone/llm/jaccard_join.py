@@ -329,6 +329,7 @@ def star_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) ->
 
 
 CELL = ["big", "sc", "heavy"]
+FEW_COPIES = 8  # of a row, on average, up to which ties are multiplied without weighing clusters against them
 CELLS = 1024  # a cluster of more cells is multiplied tie by tie, so that pairs of cells stay few
 
 
@@ -376,26 +377,30 @@ def block_links(members: DataFrame, left: DataFrame, percent: int, salt: Salt) -
     """Links (u, v) among the rows of ties (g, node, n, k, comp) that lie in different components so far."""
     live = members.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("g")
     members = materialise(salt.join(members, live, "left_semi").select("g", "node", "n", "k", "comp"), "ties")
-    first = members.groupBy("g").agg(F.min("node").alias("u"))
-    clusters = components(salt.join(members, first).filter("u <> node").select("u", F.col("node").alias("v")).distinct())
-    named = materialise(members.join(clusters, "node").withColumnRenamed("component", "cluster"), "ties")
     key = lambda way, of: F.xxhash64(F.lit(way), of).alias("t")
-    by_tie, tie_pairs, tie_salt = cut_blocks(named.select(key("tie", "g"), "node", "n", "k", "comp"), percent)
-    whole = materialise(named.select(key("cluster", "cluster"), "node", "n", "k", "comp").distinct(), "clusters")
-    by_cluster, cluster_pairs, cluster_salt = cut_blocks(whole, percent, CELLS)
-    # whichever way copies rows less often, cluster by cluster
-    of_tie = materialise(named.select(key("tie", "g"), key("cluster", "cluster").alias("c")).distinct(), "ways")
-    cost = tie_pairs.join(of_tie, "t").groupBy("c").agg(F.sum("copies").alias("by_tie"))
-    other = cluster_pairs.groupBy(F.col("t").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
-    cheaper = F.coalesce(F.col("by_tie") < F.col("by_cluster"), F.lit(True))
-    ways = materialise(cost.join(other, F.col("c") == F.col("c2"), "left").select("c", cheaper.alias("ties")), "ways")
-
-    def chosen(rows: DataFrame, pairs: DataFrame, take: DataFrame, dealt: Salt) -> DataFrame:
-        pairs = pairs.join(take, "t", "left_semi").withColumnRenamed("cell", "from").drop("copies")
+    by_tie, tie_pairs, tie_salt = cut_blocks(members.select(key("tie", "g"), "node", "n", "k", "comp"), percent)
+
+    def chosen(rows: DataFrame, pairs: DataFrame, dealt: Salt) -> DataFrame:
+        pairs = pairs.withColumnRenamed("cell", "from").drop("copies")
         return dealt.join(rows.withColumn("cell", F.struct(*CELL)).drop(*CELL), pairs).filter(F.col("cell").eqNullSafe(F.col("from")))
 
-    met = chosen(by_tie, tie_pairs, of_tie.join(ways.filter("ties"), "c").select("t"), tie_salt)
-    met = met.unionByName(chosen(by_cluster, cluster_pairs, ways.filter("NOT ties").select(F.col("c").alias("t")), cluster_salt))
+    copies = tie_pairs.agg(F.sum("copies")).first()[0] or 0
+    if copies <= FEW_COPIES * left.count():
+        met = chosen(by_tie, tie_pairs, tie_salt)
+    else:  # whichever way copies rows less often, cluster by cluster
+        first = members.groupBy("g").agg(F.min("node").alias("u"))
+        clusters = components(salt.join(members, first).filter("u <> node").select("u", F.col("node").alias("v")).distinct())
+        named = materialise(members.join(clusters, "node").withColumnRenamed("component", "cluster"), "ties")
+        whole = materialise(named.select(key("cluster", "cluster"), "node", "n", "k", "comp").distinct(), "clusters")
+        by_cluster, cluster_pairs, cluster_salt = cut_blocks(whole, percent, CELLS)
+        of_tie = materialise(named.select(key("tie", "g"), key("cluster", "cluster").alias("c")).distinct(), "ways")
+        cost = tie_pairs.join(of_tie, "t").groupBy("c").agg(F.sum("copies").alias("by_tie"))
+        other = cluster_pairs.groupBy(F.col("t").alias("c2")).agg(F.sum("copies").alias("by_cluster"))
+        cheaper = F.coalesce(F.col("by_tie") < F.col("by_cluster"), F.lit(True))
+        ways = materialise(cost.join(other, F.col("c") == F.col("c2"), "left").select("c", cheaper.alias("ties")), "ways")
+        met = chosen(by_tie, tie_pairs.join(of_tie.join(ways.filter("ties"), "c").select("t"), "t", "left_semi"), tie_salt)
+        clustered = cluster_pairs.join(ways.filter("NOT ties").select(F.col("c").alias("t")), "t", "left_semi")
+        met = met.unionByName(chosen(by_cluster, clustered, cluster_salt))
     own, x, alike = F.col("own"), F.col("x"), F.col("cell").eqNullSafe(F.col("to"))
     ahead = F.hash("cell", F.lit(1)) < F.hash("to", F.lit(1))
     ahead = F.when(F.hash("cell", F.lit(1)) == F.hash("to", F.lit(1)), F.to_json("cell") < F.to_json("to")).otherwise(ahead)

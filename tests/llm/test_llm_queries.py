@@ -143,6 +143,7 @@ def test_stock_paragraphs_and_hot_columns(spark, monkeypatch, hot):
         monkeypatch.setattr(jaccard_join, "HOT_LEAST", 9)
         monkeypatch.setattr(jaccard_join, "HOT_GROUPS", 1 << 20)
         monkeypatch.setattr(jaccard_join, "CELLS", 2)
+        monkeypatch.setattr(jaccard_join, "FEW_COPIES", 0)
     stock = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(12)]
     rows = [(i, " ".join(stock[k] for k in rng.choice(12, 4, replace=False))) for i in range(300)]
     base = [f"n{i}" for i in range(80)]
