@@ -430,7 +430,7 @@ def chunk_markdown(spark, sf_dir):
     return rows.groupBy("rel_path", "variant", "heading", "line").agg(F.count(F.lit(1)).alias("n"), F.first(F.sha2("text", 256)).alias("digest"))
 
 
-# Queries over the small files of ``fixtures``: what they must give is written out there by hand.
+# Queries over the small files of ``fixtures``: what they must give is written out there.
 
 
 def _values(rows: list[tuple], columns: list[str], casts: dict[str, str] | None = None) -> str:
